@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, secrets, sharding
+from . import chat, decontaminate, licenses, quality, secrets, sharding, topk
 from .common import table
 
 
+def op1_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    out = topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.match_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "overlap.n_words",
+        "overlap.n_hit",
+        F.size("overlap.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("overlap.items", ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated().alias("contaminated"),
+    )
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     llr = secrets.train(secrets.labelled_samples(spark))
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"), llr)
@@ -43,6 +62,14 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    out = quality.score(docs, quality.fit(docs, labels)).select("row.doc_id", "score")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -60,5 +87,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op6_stratified_sharding, op7_license_scan, op9_chat_format)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bitsliced_topk, op4_benchmark_decontamination, op5_secret_scan, op6_stratified_sharding, op7_license_scan, op8_quality_trees, op9_chat_format)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_bitsliced_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
