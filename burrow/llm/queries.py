@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, quality, secrets, sharding, topk
+from . import chat, decontaminate, licenses, quality, secrets, sharding, simhash, topk
 from .common import table
 
 
@@ -87,7 +87,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bitsliced_topk, op4_benchmark_decontamination, op5_secret_scan, op6_stratified_sharding, op7_license_scan, op8_quality_trees, op9_chat_format)}
+def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.link_fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_bitsliced_topk, op4_benchmark_decontamination, op5_secret_scan, op6_stratified_sharding, op7_license_scan, op8_quality_trees, op9_chat_format, op10_simhash_links)}
 ORACLE_SQL: dict[str, str] = {
     "op1_bitsliced_topk": """
 WITH v AS (
