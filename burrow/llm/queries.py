@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, quality, secrets, sharding, simhash, topk
+from . import chat, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, topk
 from .common import table
 
 
@@ -15,6 +15,24 @@ def op1_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "vec_id", "score")
 
 
+#: Shares of all tokens that the mixture aims at.
+MIXTURE = {"good": 0.92, "poor": 0.07, "toxic": 0.01}
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows outside the held-out fold."""
+    return table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+
+
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier and the fit have no SQL form; columns: tokens, posteriors, the likeliest domain, the rate and the copies it is rounded to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, steps, soft = mixing.mixed_rates(docs, mixing.domains_of(training_labels(spark, sf_dir)), MIXTURE)
+    rate = mixing.rate_of(F.col("p"), steps)
+    likeliest = F.element_at(F.array(*map(F.lit, MIXTURE)), F.array_position("p", F.array_max("p")).cast("int"))
+    return soft.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{x}") for i, x in enumerate(MIXTURE)], likeliest.alias("domain"), rate.alias("rate"), mixing.copies_of(rate, F.col("doc_id")).alias("copies"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.match_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -64,8 +82,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    out = quality.score(docs, quality.fit(docs, labels)).select("row.doc_id", "score")
+    out = quality.score(docs, quality.fit(docs, training_labels(spark, sf_dir))).select("row.doc_id", "score")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -92,7 +109,7 @@ def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_bitsliced_topk, op4_benchmark_decontamination, op5_secret_scan, op6_stratified_sharding, op7_license_scan, op8_quality_trees, op9_chat_format, op10_simhash_links)}
+QUERIES = {f.__name__: f for f in (op1_bitsliced_topk, op3_soft_mixing, op4_benchmark_decontamination, op5_secret_scan, op6_stratified_sharding, op7_license_scan, op8_quality_trees, op9_chat_format, op10_simhash_links)}
 ORACLE_SQL: dict[str, str] = {
     "op1_bitsliced_topk": """
 WITH v AS (
