@@ -3,9 +3,11 @@
 A softmax classifier, trained on a bounded sample of a labelled table, gives each document a posterior over domains
 from its byte histogram and its words' log odds. Nonnegative document rates are then fitted so that the expected tokens of
 each domain, the sum over documents of rate x tokens x posterior, match the targets: projected gradient steps on
-the squared residuals from rates of 1, in the metric of the domains' overlap among documents of positive rate. A
-step needs one distributed sum of a few numbers; a document's rate follows from its posterior and the steps, so
-rates are column expressions and no document is ever collected.
+the squared residuals, from rates of 1. Rates stay between 0 and ``MAX_RATE``, the most often that a document may
+be repeated; targets out of reach of such rates are approached as near as they allow. A step is taken in the
+metric of the domains' overlap among documents off the bounds, and, where that doesn't lessen the residuals, along
+the plain gradient. It needs one distributed sum of a few numbers; a document's rate follows from its posterior
+and the steps, so rates are column expressions and no document is ever collected.
 
 Cases: null and empty texts have no tokens, a posterior as the classifier gives it, and a rate like any other; null
 and unknown labels are left out; an id labelled twice takes its smallest domain; a domain without examples gets a
@@ -30,8 +32,10 @@ from .quality import with_vector
 #: Labelled rows that training may use.
 SAMPLE_ROWS = 4_000
 BUCKETS = 1 << 14
-#: Steps at most; the residual is far below the tolerance after a few.
-STEPS, TOLERANCE = 24, 1e-7
+#: The largest rate of a document.
+MAX_RATE = 4.0
+#: Trials of steps at most, and the largest residual, and the least relative gain of a step, that go on.
+TRIALS, TOLERANCE, GAIN = 40, 1e-6, 1e-3
 
 
 class Buckets(dict):
@@ -140,37 +144,52 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     return with_vector(docs, run, "soft", kind="struct<n_tokens:long,p:array<double>>", arrow=kind)
 
 
-def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the steps: each is subtracted along the posterior, and rates below 0 become 0."""
+def rate_of(p: Column, steps: list[list[float]], most: float = MAX_RATE) -> Column:
+    """A document's rate after the steps: each is subtracted along the posterior, and rates beyond a bound go back to it."""
     rate = F.lit(1.0)
     for step in steps:
         move = F.lit(0.0)
         for c, x in enumerate(step):
             move = move + p[c] * F.lit(float(x))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - move))
     return rate
 
 
-def fit_rates(soft: DataFrame, weights: list[float]) -> list[list[float]]:
+def fit_rates(soft: DataFrame, weights: list[float], most: float = MAX_RATE) -> list[list[float]]:
     """The steps that fit the rates of ``soft`` (n_tokens, p) to ``weights``, the domains' shares of all tokens."""
     k = len(weights)
     target = np.array(weights, dtype=np.float64) / sum(weights)
+    n, p = F.col("n_tokens"), F.col("p")
+
+    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Residuals, the overlap of all documents and that of documents off the bounds, by token share."""
+        rated = soft.select("n_tokens", "p", rate_of(p, steps, most).alias("rate"))
+        free = F.when((F.col("rate") > 0) & (F.col("rate") < most), n).otherwise(F.lit(0))
+        pairs = [(a, b) for a in range(k) for b in range(k)]
+        parts = [*[F.col("rate") * n * p[c] for c in range(k)], *[n * p[a] * p[b] for a, b in pairs], *[free * p[a] * p[b] for a, b in pairs]]
+        got = rated.agg(F.sum("n_tokens").alias("all"), *[F.sum(x).alias(f"v{i}") for i, x in enumerate(parts)]).first()
+        if not got["all"]:
+            return None
+        values = np.array(got[1:], dtype=np.float64) / got["all"]
+        return values[:k] - target, values[k : k + k * k].reshape(k, k), values[k + k * k :].reshape(k, k)
+
     steps: list[list[float]] = []
-    total = None
-    for _ in range(STEPS):
-        rated = soft.select("n_tokens", "p", rate_of(F.col("p"), steps).alias("rate"))
-        live = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(F.lit(0))
-        mass = [F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")[c]) for c in range(k)]
-        overlap = [F.sum(live * F.col("p")[a] * F.col("p")[b]) for a in range(k) for b in range(k)]
-        got = rated.agg(F.sum("n_tokens").alias("all"), *[c.alias(f"v{i}") for i, c in enumerate([*mass, *overlap])]).first()
-        total = got["all"]
-        if not total:
-            return []
-        values = np.array(got[1:], dtype=np.float64) / total
-        residual = values[:k] - target
-        if np.abs(residual).max() < TOLERANCE:
+    now = sums(steps)
+    trial, scale = 0, 1.0
+    while now and trial < TRIALS and np.abs(now[0]).max() > TOLERANCE:
+        residual, overlap, free = now
+        plain = residual / max(np.linalg.eigvalsh(overlap).max(), 1e-12)
+        move = plain if scale < 0.1 else scale * np.linalg.pinv(free, rcond=1e-6) @ residual
+        then = sums([*steps, move.tolist()])
+        trial += 1
+        before, after = (residual**2).sum(), (then[0] ** 2).sum()
+        if after < before * (1 - GAIN):
+            steps.append(move.tolist())
+            now, scale = then, 1.0
+        elif scale < 0.1:
             break
-        steps.append((np.linalg.pinv(values[k:].reshape(k, k), rcond=1e-9) @ residual).tolist())
+        else:
+            scale /= 4
     return steps
 
 
