@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality, secrets, sharding, simhash, topk
+from . import chat, decontaminate, licenses, mixing, ngram, quality, secrets, sharding, simhash, topk
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op1_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "vec_id", "score")
 
 
+def op2_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    out = ngram.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Shares of all tokens that the mixture aims at.
 MIXTURE = {"good": 0.92, "poor": 0.07, "toxic": 0.01}
 
@@ -109,7 +115,7 @@ def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_bitsliced_topk, op3_soft_mixing, op4_benchmark_decontamination, op5_secret_scan, op6_stratified_sharding, op7_license_scan, op8_quality_trees, op9_chat_format, op10_simhash_links)}
+QUERIES = {f.__name__: f for f in (op1_bitsliced_topk, op2_trie_scores, op3_soft_mixing, op4_benchmark_decontamination, op5_secret_scan, op6_stratified_sharding, op7_license_scan, op8_quality_trees, op9_chat_format, op10_simhash_links)}
 ORACLE_SQL: dict[str, str] = {
     "op1_bitsliced_topk": """
 WITH v AS (
