@@ -90,12 +90,18 @@ class EliasFano:
         first[high == 0] = 0
         # the values from first to after have the same high bits as x; all later ones are larger
         after[inside] = self.select(high[inside], zero=True) - high[inside]
-        i, after = np.clip(first, begin, end), np.minimum(after, end)
+        # binary search among them by the low bits
+        i, after = np.clip(first, begin, end), np.clip(after, begin, end)
         live = np.flatnonzero(i < after)
+        left, right, wanted = i[live], after[live], low[live]
         while len(live):
-            live = live[self.low_of(i[live]) < low[live]]
-            i[live] += 1
-            live = live[i[live] < after[live]]
+            middle = (left + right) >> 1
+            less = self.low_of(middle) < wanted
+            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+            done = left >= right
+            if done.any():
+                i[live[done]] = left[done]
+                live, left, right, wanted = live[~done], left[~done], right[~done], wanted[~done]
         return i
 
 
@@ -140,7 +146,7 @@ class Trie:
 
         def mapped(name: str, kind: type) -> np.ndarray:
             path = Path(folder, name)
-            return np.memmap(path, kind, "r") if path.stat().st_size else np.zeros(0, kind)
+            return np.asarray(np.memmap(path, kind, "r")) if path.stat().st_size else np.zeros(0, kind)
 
         levels = {}
         for name in cls.LEVELS:

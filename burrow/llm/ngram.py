@@ -33,7 +33,7 @@ from .common import LOWER, input_bytes, stored
 from .elias_fano import Trie
 
 #: Bytes of text in a chunk, and of input to a shard.
-CHUNK_BYTES, SHARD_BYTES = 4 << 20, 24 << 20
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 #: The weight of the single-word model, in occurrences.
 PRIOR = 400.0
 #: Words never hold a space.

@@ -75,7 +75,7 @@ def brute(rows, prior):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "shard"), [(4 << 20, 24 << 20), (20_000, 60_000)])
+@pytest.mark.parametrize(("chunk", "shard"), [(4 << 20, 8 << 20), (20_000, 60_000)])
 def test_scores(spark, tables, monkeypatch, chunk, shard):
     monkeypatch.setattr(ngram, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(ngram, "SHARD_BYTES", shard)
