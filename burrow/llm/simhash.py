@@ -9,7 +9,8 @@ distinct.) A group ties each of its members to the first member that links reach
 ``near_duplicates`` serves shingle similarity. Fingerprints of 2048 bits estimate it: at Jaccard similarity J of
 word shingle sets the share of differing bits is acos(2J / (1 + J)) / pi, with a standard deviation of 0.008 at
 0.8. Blocks are seeded subsets of the bits; a block's members are compared with the member of the smallest hash,
-and what survives goes through further rounds with other hashes until no link is found.
+unless they are of one component already; members of crowded blocks go through further rounds with other blocks and
+hashes until a round finds no link.
 
 Cases: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words
 than a shingle are one shingle; texts are read whole; repeated rows are kept by ``link_fingerprints`` and are one
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop, stored
+from .common import LOWER, stored
 from .graph import components
 
 #: Fingerprints up to which a block value's members are compared with each other.
@@ -157,7 +158,7 @@ def close_pairs(prints: DataFrame, distance: int = 2, limit: int = GROUP) -> Dat
                 a, b = (np.concatenate([x[i] for x in found[part : part + 4096]]).view(np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    links, kept, level = None, [], [(0, split_bits(list(range(64))))]
+    links, level = None, [(0, split_bits(list(range(64))))]
     rows = prints.select("fp", F.lit(0).cast("long").alias("held"))
     while True:
         # the masks under each mask that is held so far, a fixed table of the level
@@ -172,7 +173,6 @@ def close_pairs(prints: DataFrame, distance: int = 2, limit: int = GROUP) -> Dat
         if last or not counts.where(F.col("n") > limit).head(1):
             return links
         rows = stored(spread.join(counts.where(F.col("n") > limit).select("mask", "key"), ["mask", "key"]).select("fp", F.col("mask").alias("held")))
-        kept.append(rows)
         level = [(s, split_bits([b for b in range(64) if b not in set(bits_of(s))])) for subs in below.values() for s, _ in subs]
 
 
@@ -203,41 +203,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
     The number of bits in a block follows the number of documents, so that unrelated documents meet in a bounded
     number of blocks each at every size.
     """
-    prints = fingerprints(docs, width, words, seed).withColumn("n", F.xxhash64("fp"))
-    prints = stored(prints)
+    prints = stored(fingerprints(docs, width, words, seed).withColumn("n", F.xxhash64("fp")))
     nodes = stored(prints.groupBy("n").agg(F.first("fp").alias("fp")))
     total = nodes.count()
     most = int(words * 64 * share_of_bits(similarity))
     size = max(16, min(60, total.bit_length() + 6))
-    links, active, quiet, turn = None, nodes, 0, 0
-    found = []
-    while quiet < 2:
-        some, wide = links_of_round(active, most, size, words, blocks, seed + turn)
-        some = stored(some)
-        found.append(some)
-        any_link = bool(some.head(1))
-        quiet = 0 if any_link else quiet + 1
-        links = some if links is None else links.unionAll(some)
-        if not wide.head(1):
-            break
-        tied = components(links)
-        still = wide.join(tied.select(F.col("node").alias("n")), "n", "left_anti")
-        active = stored(nodes.join(still, "n", "left_semi"))
-        if not active.head(2)[1:]:
-            break
+    # few blocks first: what they tie needs no comparing in the others
+    parts = [(blocks * i // 10, blocks * j // 10) for i, j in ((0, 1), (1, 4), (4, 10))]
+    active, links, turn, fresh = nodes, None, 0, True
+    while fresh:
+        fresh, wide = False, None
+        for part in parts if turn == 0 else [(0, blocks)]:
+            rooted = stored(with_roots(active, links))
+            some, met = links_of_round(rooted, most, size, words, blocks, part, seed + turn)
+            fresh |= bool(some.head(1))
+            links = some if links is None else links.unionAll(some)
+            more = met.where("members > 2")
+            more = more.select("n").unionAll(more.select("pivot"))
+            wide = more if wide is None else wide.unionAll(more)
+        if fresh:
+            active = stored(nodes.join(wide.distinct(), "n", "left_semi"))
+            fresh = bool(active.head(1))
         turn += 1
     tied = components(links)
     return prints.join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
 
 
-def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links ``a, b`` of each node with the smallest-hashed member of each of its blocks, and the nodes ``n`` of blocks with over two members."""
+def with_roots(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+    if links is None:
+        return nodes.select("n", "fp", F.col("n").alias("root"))
+    return nodes.join(components(links).withColumnRenamed("node", "n"), "n", "left").select("n", "fp", F.coalesce("root", "n").alias("root"))
+
+
+def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: int, part: tuple[int, int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``a, b`` of each node with the smallest-hashed member of each of its blocks from ``part``, and all pairs that met, with the members of their largest block. Nodes of one root are not compared."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         chosen = np.stack([rng.choice(words * 64, size, replace=False) for _ in range(blocks)])
         place = (np.uint64(1) << np.arange(size, dtype=np.uint64))[None, :]
-        names = rng.integers(0, 2**63, blocks, dtype=np.uint64)
+        names = rng.integers(0, 2**63, blocks, dtype=np.uint64)[slice(*part)]
+        chosen = chosen[slice(*part)]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -247,12 +253,15 @@ def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: i
                 keys = (keys + names[None, :]) * np.uint64(0x9E3779B97F4A7C15)
                 keys ^= keys >> np.uint64(29)
                 keys = (keys * np.uint64(0xBF58476D1CE4E5B9)) ^ names[None, :]
-                n = np.repeat(some.column("n").to_numpy(), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(keys.ravel().view(np.int64))], names=["n", "key"])
-
-    rows = nodes.select("n", "fp").mapInArrow(spread, "n long, key long")
-    groups = stored(rows.groupBy("key").agg(F.count("*").alias("members"), F.min_by("n", F.xxhash64("n", F.lit(seed))).alias("pivot")).where("members > 1"))
-    met = stored(rows.join(groups, "key").where("n <> pivot").groupBy("n", "pivot").agg(F.max("members").alias("members")))
+                n, root = (pa.array(np.repeat(some.column(c).to_numpy(), len(chosen))) for c in ("n", "root"))
+                yield pa.RecordBatch.from_arrays([n, root, pa.array(keys.ravel().view(np.int64))], names=["n", "root", "key"])
+
+    rows = nodes.mapInArrow(spread, "n long, root long, key long")
+    first = F.xxhash64("n", F.lit(seed))
+    groups = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("n", first).alias("pivot"), F.min_by("root", first).alias("pivot_root"))
+    groups = stored(groups.where("low <> high").select("key", "members", "pivot", "pivot_root"))
+    pairs = rows.join(groups, (rows.key == groups.key) & (rows.root != groups.pivot_root))
+    met = stored(pairs.groupBy("n", "pivot").agg(F.max("members").alias("members")))
     left = met.join(nodes.select("n", F.col("fp").alias("fp_n")), "n")
     both = left.join(nodes.select(F.col("n").alias("pivot"), F.col("fp").alias("fp_p")), "pivot")
 
@@ -264,9 +273,7 @@ def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: i
                 close = pa.array(np.bitwise_count(a ^ b).sum(1) <= most)
                 yield pa.RecordBatch.from_arrays([some.column("n").filter(close), some.column("pivot").filter(close)], names=["a", "b"])
 
-    links = both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long")
-    wide = met.where("members > 2")
-    return links, wide.select("n").unionAll(wide.select("pivot")).distinct()
+    return stored(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long")), met
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
