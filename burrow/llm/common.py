@@ -34,7 +34,7 @@ def stored(df: DataFrame, *, by: str | None = None) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
+def drop(df: DataFrame | None) -> None:
     """Delete what ``stored`` wrote, once nothing reads it any more."""
     if path := getattr(df, "_burrow_path", None):
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

@@ -9,8 +9,8 @@ distinct.) A group ties each of its members to the first member that links reach
 ``near_duplicates`` serves shingle similarity. Fingerprints of 2048 bits estimate it: at Jaccard similarity J of
 word shingle sets the share of differing bits is acos(2J / (1 + J)) / pi, with a standard deviation of 0.008 at
 0.8. Blocks are seeded subsets of the bits; a block's members are compared with the member of the smallest hash,
-unless they are of one component already; members of crowded blocks go through further rounds with other blocks and
-hashes until a round finds no link.
+unless they are of one component already; what stays of crowded blocks goes through further rounds with other blocks
+and hashes until a round finds no link.
 
 Cases: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words
 than a shingle are one shingle; texts are read whole; repeated rows are kept by ``link_fingerprints`` and are one
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored
+from .common import LOWER, drop, stored
 from .graph import components
 
 #: Fingerprints up to which a block value's members are compared with each other.
@@ -213,30 +213,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
     active, links, turn, fresh = nodes, None, 0, True
     while fresh:
         fresh, wide = False, None
-        for part in parts if turn == 0 else [(0, blocks)]:
-            rooted = stored(with_roots(active, links))
-            some, met = links_of_round(rooted, most, size, words, blocks, part, seed + turn)
+        for part in parts if turn == 0 else [(0, blocks // 5)]:
+            tied = components(links) if links is not None else None
+            rooted = stored(with_roots(active, tied, survivors=turn > 0))
+            some, crowded = links_of_round(rooted, most, size, words, blocks, part, seed + turn)
             fresh |= bool(some.head(1))
             links = some if links is None else links.unionAll(some)
-            more = met.where("members > 2")
-            more = more.select("n").unionAll(more.select("pivot"))
-            wide = more if wide is None else wide.unionAll(more)
+            wide = crowded if wide is None else wide.unionAll(crowded)
+            for used in (rooted, tied):
+                drop(used)
         if fresh:
-            active = stored(nodes.join(wide.distinct(), "n", "left_semi"))
+            last, active = active, stored(nodes.join(wide.distinct(), "n", "left_semi"))
             fresh = bool(active.head(1))
+            if last is not nodes:
+                drop(last)
         turn += 1
     tied = components(links)
     return prints.join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
 
 
-def with_roots(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
+def with_roots(nodes: DataFrame, tied: DataFrame | None, *, survivors: bool) -> DataFrame:
+    """Nodes with their components' roots, or the roots alone."""
+    if tied is None:
         return nodes.select("n", "fp", F.col("n").alias("root"))
-    return nodes.join(components(links).withColumnRenamed("node", "n"), "n", "left").select("n", "fp", F.coalesce("root", "n").alias("root"))
+    rooted = nodes.join(tied.withColumnRenamed("node", "n"), "n", "left")
+    return (rooted.where(F.col("root").isNull()) if survivors else rooted).select("n", "fp", F.coalesce("root", "n").alias("root"))
 
 
 def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: int, part: tuple[int, int], seed: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links ``a, b`` of each node with the smallest-hashed member of each of its blocks from ``part``, and all pairs that met, with the members of their largest block. Nodes of one root are not compared."""
+    """Verified links ``a, b`` of each node with the smallest-hashed member of each of its blocks from ``part``, and the nodes ``n`` of blocks with over two members. Nodes of one root are not compared."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -273,7 +278,12 @@ def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: i
                 close = pa.array(np.bitwise_count(a ^ b).sum(1) <= most)
                 yield pa.RecordBatch.from_arrays([some.column("n").filter(close), some.column("pivot").filter(close)], names=["a", "b"])
 
-    return stored(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long")), met
+    links = stored(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long"))
+    wide = met.where("members > 2")
+    wide = stored(wide.select("n").unionAll(wide.select("pivot")).distinct())
+    for used in (groups, met):
+        drop(used)
+    return links, wide
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
