@@ -1,4 +1,341 @@
-"""Registered queries over the reference's own operators, with the DuckDB SQL they are held against."""
+"""Registered queries over nested paths, with the DuckDB SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import histogram, index, intervals, paths
+from .operators.index import Predicate
+from .plans import chunks, objects
+from .sources import catalog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+BASKET = 100
+
+LINES = """(SELECT l_orderkey AS entry_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS lines_idx,
+  l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount, l_tax AS tax, l_linenumber AS linenumber, l_partkey AS partkey, l_suppkey AS suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS lines"""
+BASKETS = f"""(SELECT event_id % 4 AS source_id, event_id // {BASKET} AS basket_id, count(*) AS value_count, count(*) FILTER (WHERE value IS NULL) AS null_count,
+  min(value) AS min_value, max(value) AS max_value FROM events GROUP BY ALL) AS baskets"""
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``/Event/value`` with four sources."""
+    return paths.read_path(objects.events(spark, sf_dir), "/Event/value").withColumn("source_id", F.pmod("entry_id", F.lit(4)).cast("long"))
+
+
+def event_baskets(spark: SparkSession, sf_dir: str, *, bloom: bool = False) -> DataFrame:
+    return index.build_baskets(event_values(spark, sf_dir), "value", BASKET, bloom=bloom)
+
+
+def pruned(spark: SparkSession, sf_dir: str, predicate: Predicate, *, bloom: bool = False) -> DataFrame:
+    flat = event_values(spark, sf_dir)
+    return index.read_dataset(flat, "value", index.build_baskets(flat, "value", BASKET, bloom=bloom), predicate, BASKET).select("source_id", "entry_id", "value")
+
+
+@query("SELECT event_id AS entry_id, value FROM events")
+def direct_scalar(spark, sf_dir):
+    return paths.read_path(objects.events(spark, sf_dir), "/Event/value")
+
+
+@query(f"SELECT entry_id, lines_idx, extendedprice FROM {LINES}")
+def direct_nested(spark, sf_dir):
+    return paths.read_path(objects.orders(spark, sf_dir), "/Order/lines/extendedprice")
+
+
+@query(f"SELECT entry_id, lines_idx, extendedprice FROM {LINES} WHERE extendedprice > 50000")
+def direct_nested_filter(spark, sf_dir):
+    return direct_nested(spark, sf_dir).where(F.col("extendedprice") > 50000)
+
+
+@query("SELECT event_id AS entry_id, value FROM events WHERE event_id BETWEEN 250 AND 499")
+def direct_event_range(spark, sf_dir):
+    return direct_scalar(spark, sf_dir).where(F.col("entry_id").between(250, 499))
+
+
+@query(f"SELECT entry_id, lines_idx, linenumber, partkey, suppkey, quantity, extendedprice, discount, tax FROM {LINES}")
+def direct_container(spark, sf_dir):
+    return paths.read_container(objects.orders(spark, sf_dir), "/Order/lines")
+
+
+@query("SELECT vec_id AS entry_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS embedding_idx, unnest(embedding) AS embedding FROM embeddings")
+def direct_fixed_array(spark, sf_dir):
+    return paths.read_path(objects.vectors(spark, sf_dir), "/Vec/embedding/value")
+
+
+@query("SELECT entry_id, CAST(i // 8 AS INTEGER) AS matrix_dim0_idx, CAST(i % 8 AS INTEGER) AS matrix_dim1_idx, v AS matrix FROM (SELECT vec_id AS entry_id, unnest(generate_series(0, len(embedding) - 1)) AS i, unnest(embedding) AS v FROM embeddings)")
+def direct_multidim(spark, sf_dir):
+    return paths.read_path(objects.vectors(spark, sf_dir), "/Vec/matrix/value")
+
+
+MAP = "(SELECT event_id AS entry_id, unnest(list_sort(json_keys(props))) AS k, props FROM events WHERE props IS NOT NULL) AS m"
+
+
+@query(f"SELECT entry_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY k) - 1 AS INTEGER) AS props_idx, k AS key FROM {MAP}")
+def direct_map_key(spark, sf_dir):
+    return paths.read_path(objects.events(spark, sf_dir), "/Event/props/key")
+
+
+@query(f"SELECT entry_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY k) - 1 AS INTEGER) AS props_idx, CAST(json_extract(props, '$.' || k) AS DOUBLE) AS props FROM {MAP}")
+def direct_map_value(spark, sf_dir):
+    return paths.read_path(objects.events(spark, sf_dir), "/Event/props/value")
+
+
+@query("SELECT conv_id AS entry_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS turns_idx, role FROM conversations")
+def direct_string_leaf(spark, sf_dir):
+    return paths.read_path(objects.conversations(spark, sf_dir), "/Conv/turns/role")
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS entry_id, CAST(NULL AS VARCHAR) AS nothing WHERE FALSE")
+def direct_missing_path(spark, sf_dir):
+    return paths.read_path(objects.orders(spark, sf_dir), "/Order/lines/nothing")
+
+
+@query("SELECT * FROM (VALUES ('/Order/entry_id'), ('/Order/lines'), ('/Order/lines/discount'), ('/Order/lines/extendedprice'), ('/Order/lines/linenumber'), ('/Order/lines/partkey'), ('/Order/lines/quantity'), ('/Order/lines/suppkey'), ('/Order/lines/tax'), ('/Order/status'), ('/Order/totalprice')) t(path)")
+def browse_paths(spark, sf_dir):
+    return paths.browse(objects.orders(spark, sf_dir), "Order")
+
+
+@query("SELECT event_id % 4 AS source_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def direct_multi_source(spark, sf_dir):
+    return event_values(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE event_id % 4 IN (1, 3)")
+def source_prune(spark, sf_dir):
+    return event_values(spark, sf_dir).where(F.col("source_id").isin(1, 3)).select("source_id", "entry_id", "value")
+
+
+@query(f"SELECT count(*) AS n, CAST(sum(partkey) AS BIGINT) AS checksum FROM {LINES}")
+def count_checksum(spark, sf_dir):
+    return paths.read_path(objects.orders(spark, sf_dir), "/Order/lines/partkey").agg(F.count("*").alias("n"), F.sum(F.col("partkey").cast("decimal(28,0)")).cast("long").alias("checksum"))
+
+
+@query(f"SELECT source_id, basket_id, value_count, null_count, CAST(0 AS BIGINT) AS nan_count, min_value, max_value FROM {BASKETS}")
+def index_baskets(spark, sf_dir):
+    return event_baskets(spark, sf_dir).select("source_id", "basket_id", "value_count", "null_count", "nan_count", "min_value", "max_value")
+
+
+@query(f"SELECT source_id, CAST(sum(value_count) AS BIGINT) AS value_count, min(min_value) AS min_value, max(max_value) AS max_value, count(*) AS basket_count FROM {BASKETS} GROUP BY 1")
+def index_files(spark, sf_dir):
+    return index.rollup_files(event_baskets(spark, sf_dir)).select("source_id", "value_count", "min_value", "max_value", "basket_count")
+
+
+@query("SELECT source_id, total_entries, CAST(coalesce(sum(total_entries) OVER (ORDER BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS event_base FROM (SELECT event_id % 4 AS source_id, count(*) AS total_entries FROM events GROUP BY 1)")
+def event_base(spark, sf_dir):
+    return index.event_bases(event_values(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("total_entries")))
+
+
+@query(f"SELECT source_id, basket_id, CAST(coalesce(sum(value_count) OVER (PARTITION BY source_id ORDER BY basket_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS flat_value_begin FROM {BASKETS}")
+def flat_value_begin(spark, sf_dir):
+    return index.value_begins(event_baskets(spark, sf_dir)).select("source_id", "basket_id", "flat_value_begin")
+
+
+@query(f"SELECT CAST(sum(value_count) AS BIGINT) AS row_count, CAST(sum(null_count) AS BIGINT) AS null_count, CAST(sum(value_count - null_count) AS BIGINT) AS non_null_count, count(*) AS basket_count, min(min_value) AS min_value, max(max_value) AS max_value FROM {BASKETS}")
+def dataset_stats(spark, sf_dir):
+    return index.dataset_stats(index.rollup_files(event_baskets(spark, sf_dir))).select("row_count", "null_count", "non_null_count", "basket_count", "min_value", "max_value")
+
+
+@query("SELECT count(*) AS row_count FROM events")
+def metadata_count(spark, sf_dir):
+    return index.dataset_stats(index.rollup_files(event_baskets(spark, sf_dir))).select("row_count")
+
+
+EVENT = "SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE"
+
+
+@query(f"{EVENT} value > 300")
+def dataset_zone_gt(spark, sf_dir):
+    return pruned(spark, sf_dir, Predicate(">", (300.0,)))
+
+
+@query(f"{EVENT} value BETWEEN 100 AND 120")
+def dataset_between(spark, sf_dir):
+    return pruned(spark, sf_dir, Predicate("between", (120.0, 100.0)))
+
+
+@query(f"{EVENT} value IS NULL")
+def dataset_isnull(spark, sf_dir):
+    return pruned(spark, sf_dir, Predicate("isnull"))
+
+
+@query(f"{EVENT} value < 1")
+def dataset_zone_lt(spark, sf_dir):
+    return pruned(spark, sf_dir, Predicate("<", (1.0,)))
+
+
+@query(f"{EVENT} value = (SELECT max(value) FROM events)")
+def bloom_eq(spark, sf_dir):
+    most = direct_scalar(spark, sf_dir).agg(F.max("value")).first()[0]
+    return pruned(spark, sf_dir, Predicate("=", (most,)), bloom=True)
+
+
+@query(f"{EVENT} value IN ((SELECT max(value) FROM events), (SELECT min(value) FROM events))")
+def dataset_in(spark, sf_dir):
+    low, high = direct_scalar(spark, sf_dir).agg(F.min("value"), F.max("value")).first()
+    return pruned(spark, sf_dir, Predicate("in", (low, high)), bloom=True)
+
+
+@query(f"SELECT source_id, basket_id FROM {BASKETS} WHERE max_value > 300")
+def zone_selected_baskets(spark, sf_dir):
+    return index.selected_baskets(event_baskets(spark, sf_dir), Predicate(">", (300.0,))).select("source_id", "basket_id")
+
+
+@query("SELECT least(count(*), 50) AS n FROM events WHERE value > 100")
+def row_limit_count(spark, sf_dir):
+    flat = event_values(spark, sf_dir)
+    out = index.read_dataset(flat, "value", index.build_baskets(flat, "value", BASKET), Predicate(">", (100.0,)), BASKET, row_limit=50)
+    return out.agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT entry_id FROM {LINES} GROUP BY 1 HAVING bool_or(extendedprice > 100000)")
+def pathpred_any(spark, sf_dir):
+    return objects.orders(spark, sf_dir).where(index.any_of(F.col("lines.extendedprice"), Predicate(">", (100000.0,)))).select("entry_id")
+
+
+@query(f"SELECT entry_id FROM {LINES} GROUP BY 1 HAVING bool_and(quantity >= 20)")
+def pathpred_all(spark, sf_dir):
+    return objects.orders(spark, sf_dir).where(index.all_of(F.col("lines.quantity"), Predicate(">=", (20.0,)))).select("entry_id")
+
+
+@query(f"SELECT entry_id, lines_idx, extendedprice FROM {LINES} WHERE entry_id IN (SELECT entry_id FROM {LINES} GROUP BY 1 HAVING bool_or(quantity > 45) AND bool_and(discount < 0.08)) AND extendedprice > 20000")
+def pathpred_two(spark, sf_dir):
+    rows = objects.orders(spark, sf_dir).where(index.any_of(F.col("lines.quantity"), Predicate(">", (45.0,)))).where(index.all_of(F.col("lines.discount"), Predicate("<", (0.08,))))
+    return paths.read_path(rows, "/Order/lines/extendedprice").where("extendedprice > 20000")
+
+
+SELECTION = [(0, 0, 40), (0, 30, 90), (1, 401, 402), (3, 2000, 2600)]
+
+
+@query("SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE (event_id % 4 = 0 AND event_id < 90) OR (event_id % 4 = 1 AND event_id = 401) OR (event_id % 4 = 3 AND event_id >= 2000 AND event_id < 2600)")
+def entry_selection(spark, sf_dir):
+    wanted = spark.createDataFrame(SELECTION, "source_id long, begin long, end long")
+    return intervals.select(event_values(spark, sf_dir), intervals.merge(wanted)).select("source_id", "entry_id", "value")
+
+
+RUNS = "(SELECT event_id % 4 AS source_id, event_id // 4 AS slot FROM events WHERE value > 50) AS hits"
+
+
+@query(f'SELECT source_id, min(slot) AS "begin", max(slot) + 1 AS "end" FROM (SELECT *, slot - row_number() OVER (PARTITION BY source_id ORDER BY slot) AS run FROM (SELECT DISTINCT * FROM {RUNS})) GROUP BY source_id, run')
+def entry_encode(spark, sf_dir):
+    hits = event_values(spark, sf_dir).where("value > 50").select("source_id", F.expr("entry_id div 4").alias("entry_id"))
+    return intervals.encode(hits).select("source_id", "begin", "end")
+
+
+SPANS = "(SELECT l_suppkey AS source_id, l_partkey % 500 AS b, l_partkey % 500 + CAST(l_quantity AS BIGINT) % 9 AS e FROM lineitem) AS spans"
+
+
+def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = objects.table(spark, sf_dir, "lineitem")
+    begin = F.col("l_partkey") % 500
+    return rows.select(F.col("l_suppkey").alias("source_id"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long") % 9).alias("end"))
+
+
+MERGED = f"""(SELECT source_id, min(b) AS b, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY source_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {SPANS} WHERE b < e)) GROUP BY source_id, island)"""
+
+
+@query(f'SELECT source_id, b AS "begin", e AS "end" FROM {MERGED}')
+def interval_merge(spark, sf_dir):
+    return intervals.merge(line_spans(spark, sf_dir)).select("source_id", "begin", "end")
+
+
+@query(f'SELECT source_id, greatest(b, 100) AS "begin", least(e, 220) AS "end" FROM {MERGED} WHERE b < 220 AND e > 100')
+def interval_intersect(spark, sf_dir):
+    merged = intervals.merge(line_spans(spark, sf_dir))
+    window = merged.select("source_id").distinct().select("source_id", F.lit(100).cast("long").alias("begin"), F.lit(220).cast("long").alias("end"))
+    return intervals.intersect(merged, window)
+
+
+QUANTITY, PRICE = histogram.Axis("l_quantity", 10, 5.0, 45.0), histogram.Axis("l_extendedprice", 4, 20000.0, 80000.0)
+XBIN = "CAST(CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity >= 45 THEN 11 ELSE floor((l_quantity - 5) / 4) + 1 END AS INTEGER)"
+YBIN = "CAST(CASE WHEN l_extendedprice < 20000 THEN 0 WHEN l_extendedprice >= 80000 THEN 5 ELSE floor((l_extendedprice - 20000) / 15000) + 1 END AS INTEGER)"
+
+
+@query(f"SELECT CAST(s.b AS INTEGER) AS x_bin, s.b = 0 AS is_underflow, s.b = 11 AS is_overflow, CAST(count(l.b) AS DOUBLE) AS content, round(sqrt(count(l.b)), 6) AS error, 5.0::DOUBLE + (s.b - 1) * 4 AS x_low FROM (SELECT unnest(generate_series(0, 11)) AS b) s LEFT JOIN (SELECT {XBIN} AS b FROM lineitem) l ON s.b = l.b GROUP BY s.b")
+def hist_bins_1d(spark, sf_dir):
+    out = histogram.bins(objects.table(spark, sf_dir, "lineitem"), [QUANTITY])
+    return out.select("x_bin", "is_underflow", "is_overflow", "content", F.round("error", 6).alias("error"), "x_low")
+
+
+@query(f"SELECT CAST(x.b + 12 * y.b AS INTEGER) AS global_bin, CAST(x.b AS INTEGER) AS x_bin, CAST(y.b AS INTEGER) AS y_bin, count(l.xb) AS entries FROM (SELECT unnest(generate_series(0, 11)) AS b) x CROSS JOIN (SELECT unnest(generate_series(0, 5)) AS b) y LEFT JOIN (SELECT {XBIN} AS xb, {YBIN} AS yb FROM lineitem) l ON x.b = l.xb AND y.b = l.yb GROUP BY x.b, y.b")
+def hist_bins_2d(spark, sf_dir):
+    return histogram.bins(objects.table(spark, sf_dir, "lineitem"), [QUANTITY, PRICE]).select("global_bin", "x_bin", "y_bin", "entries")
+
+
+@query("SELECT * FROM (VALUES (1, 'x', 'l_quantity', 10, 5.0::DOUBLE, 45.0::DOUBLE, 1, 10), (2, 'y', 'l_extendedprice', 4, 20000.0::DOUBLE, 80000.0::DOUBLE, 1, 4)) t(axis_idx, axis_name, title, nbins, min, max, first_bin, last_bin)")
+def hist_axes(spark, sf_dir):
+    return histogram.axes_table(spark, [QUANTITY, PRICE])
+
+
+@query("SELECT count(*) AS entries, count(*) FILTER (WHERE l_quantity >= 5 AND l_quantity < 45) AS entries_inside, round(avg(l_quantity) FILTER (WHERE l_quantity >= 5 AND l_quantity < 45), 6) AS mean_x, round(stddev_pop(l_quantity) FILTER (WHERE l_quantity >= 5 AND l_quantity < 45), 6) AS stddev_x FROM lineitem")
+def hist_meta(spark, sf_dir):
+    return histogram.meta(objects.table(spark, sf_dir, "lineitem"), QUANTITY).select("entries", "entries_inside", F.round("mean_x", 6).alias("mean_x"), F.round("stddev_x", 6).alias("stddev_x"))
+
+
+@query(f"SELECT {XBIN} AS x_bin, count(*) AS profile_entries, round(avg(l_extendedprice), 4) AS content, round(stddev_pop(l_extendedprice), 3) AS spread FROM lineitem GROUP BY 1")
+def profile_bins(spark, sf_dir):
+    out = histogram.profile(objects.table(spark, sf_dir, "lineitem"), QUANTITY, "l_extendedprice")
+    return out.select("x_bin", "profile_entries", F.round("content", 4).alias("content"), F.round("spread", 3).alias("spread"))
+
+
+@query("SELECT 0 AS differing")
+def diff_two_readers(spark, sf_dir):
+    """The chained reader and the container reader agree, both ways."""
+    rows = objects.orders(spark, sf_dir)
+    a, b = paths.read_path(rows, "/Order/lines/quantity"), paths.read_container(rows, "/Order/lines").select("entry_id", "lines_idx", "quantity")
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").cast("int").alias("differing"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return objects.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT o_orderkey AS entry_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def lineage_anti(spark, sf_dir):
+    rows = objects.orders(spark, sf_dir).select("entry_id")
+    return rows.join(objects.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id")), "entry_id", "left_anti")
+
+
+@query(f"SELECT c_custkey, count(*) AS n, CAST(sum(CAST(round(extendedprice * (1 - discount) * 100) AS BIGINT)) AS BIGINT) AS cents FROM {LINES} JOIN orders ON entry_id = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def flattened_join(spark, sf_dir):
+    flat = paths.read_container(objects.orders(spark, sf_dir), "/Order/lines")
+    owners = objects.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), F.col("o_custkey").alias("c_custkey")).join(objects.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return flat.join(owners, "entry_id").groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("extendedprice") * (1 - F.col("discount")) * 100).cast("long")).alias("cents"))
+
+
+@query("SELECT event_id % 4 AS source_id, event_id // 100 AS basket_id, count(*) AS value_count FROM events GROUP BY ALL")
+def snapshot_read(spark, sf_dir):
+    """Baskets published as a snapshot and read back through the commit log."""
+    from burrow.sources.catalog import scratch
+
+    store = catalog.Catalog(spark, scratch(spark))
+    store.publish({"baskets": event_baskets(spark, sf_dir)}, fingerprint="events")
+    return store.read("baskets").select("source_id", "basket_id", "value_count")
+
+
+@query("SELECT event_id % 4 AS source_id, count(*) AS entries FROM events GROUP BY 1")
+def direct_source_counts(spark, sf_dir):
+    return event_values(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("entries"))
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS chunks FROM (SELECT (event_id // 1000) AS chunk, count(*) AS n FROM events GROUP BY 1)")
+def chunk_plan(spark, sf_dir):
+    """Equal ranges of entries planned as chunks of bounded size."""
+    counts = direct_scalar(spark, sf_dir).groupBy(F.expr("entry_id div 1000").alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    planned = chunks.plan([(str(r.part), r.n) for r in counts], max_files=1, max_bytes=10_000)
+    return spark.createDataFrame([(sum(c["bytes"] for c in planned), len(planned))], "entries long, chunks long")
