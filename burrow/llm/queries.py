@@ -22,7 +22,7 @@ def op2_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of all tokens that the mixture aims at.
-MIXTURE = {"good": 0.92, "poor": 0.07, "toxic": 0.01}
+MIXTURE = {"good": 0.88, "poor": 0.07, "toxic": 0.05}
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,5 +127,20 @@ WITH v AS (
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_chat_format": """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), o AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+) SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(replace(replace(replace(role, chr(92), chr(92) || '0'), chr(10), chr(92) || '1'), '<|', '<' || chr(92) || '2')) + 1
+    + length(replace(replace(text, chr(92), chr(92) || '0'), '<|', '<' || chr(92) || '2')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN before IS NOT NULL AND before = 'user' ELSE FALSE END AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM o GROUP BY conv_id
 """,
 }
