@@ -50,20 +50,20 @@ def fixture(spark):
 
 def test_golden_paths(fixture):
     a = fixture.where("source_id = 0")
-    got = paths.read_path(a, "TestEvent/u/value/").agg(F.count("*"), F.sum("u"), F.sum("entry_id"), F.sum("u_idx")).first()
+    got = paths.read_path(a, "Small/u/value/").agg(F.count("*"), F.sum("u"), F.sum("entry_id"), F.sum("u_idx")).first()
     assert tuple(got) == (5, 53.0, 2, 6)
-    assert paths.read_path(a, "/TestEvent/vertex/value").agg(F.count("*"), F.sum("vertex")).first()[:] == (9, 99.0)
-    keys = paths.read_path(a, "/TestEvent/score/key").orderBy("entry_id", "score_idx").collect()
+    assert paths.read_path(a, "/Small/vertex/value").agg(F.count("*"), F.sum("vertex")).first()[:] == (9, 99.0)
+    keys = paths.read_path(a, "/Small/score/key").orderBy("entry_id", "score_idx").collect()
     assert [(r.entry_id, r.score_idx, r.key) for r in keys] == [(0, 0, 0.25), (0, 1, 0.75), (1, 0, 1.25), (1, 1, 1.75)]
-    deep = paths.read_path(a, "/TestEvent/pairs/value/value/value")
+    deep = paths.read_path(a, "/Small/pairs/value/value/value")
     assert deep.columns == ["entry_id", "pairs_dim0_idx", "pairs_dim1_idx", "pairs_dim2_idx", "pairs"] and deep.count() == 3
-    assert paths.read_path(a, "/TestEvent/none/value").count() == 0
+    assert paths.read_path(a, "/Small/none/value").count() == 0
 
 
 @pytest.mark.parametrize("predicate", [Predicate(">", (10.0,)), Predicate("<", (8.0,)), Predicate("=", (0.1,)), Predicate("between", (11.0, 7.0)), Predicate("in", (12345.0, 18.0)), Predicate("isnull"), Predicate(">=", (20.0,)), Predicate("<>", (5.0,)), Predicate("=", (math.nan,))])
 @pytest.mark.parametrize("bloom", [False, True])
 def test_pruned_scan_equals_full_scan(fixture, predicate, bloom):
-    flat = paths.read_path(fixture, "/TestEvent/u/value", carry=("source_id",)).withColumn("u", F.col("u").cast("double"))
+    flat = paths.read_path(fixture, "/Small/u/value", carry=("source_id",)).withColumn("u", F.col("u").cast("double"))
     got = index.read_dataset(flat, "u", index.build_baskets(flat, "u", 1, bloom=bloom), predicate, 1)
     want = flat.where(predicate.exact(F.col("u")))
     rows = lambda df: sorted(map(str, df.select("source_id", "entry_id", "u_idx", "u").collect()))
