@@ -9,8 +9,8 @@ distinct.) A group ties each of its members to the first member that links reach
 ``near_duplicates`` serves shingle similarity. Fingerprints of 2048 bits estimate it: at Jaccard similarity J of
 word shingle sets the share of differing bits is acos(2J / (1 + J)) / pi, with a standard deviation of 0.008 at
 0.8. Blocks are seeded subsets of the bits; a block's members are compared with the member of the smallest hash,
-unless they are of one component already; what stays of crowded blocks goes through further rounds with other blocks
-and hashes until a round finds no link.
+unless they are of one component already; members of crowded blocks go through further rounds with other blocks and
+hashes until a round finds no link.
 
 Cases: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words
 than a shingle are one shingle; texts are read whole; repeated rows are kept by ``link_fingerprints`` and are one
@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
     active, links, turn, fresh = nodes, None, 0, True
     while fresh:
         fresh, wide = False, None
-        for part in parts if turn == 0 else [(0, blocks // 5)]:
+        for part in parts if turn == 0 else [(0, blocks)]:
             tied = components(links) if links is not None else None
-            rooted = stored(with_roots(active, tied, survivors=turn > 0))
+            rooted = stored(with_roots(active, tied))
             some, crowded = links_of_round(rooted, most, size, words, blocks, part, seed + turn)
             fresh |= bool(some.head(1))
             links = some if links is None else links.unionAll(some)
@@ -232,12 +232,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
     return prints.join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
 
 
-def with_roots(nodes: DataFrame, tied: DataFrame | None, *, survivors: bool) -> DataFrame:
-    """Nodes with their components' roots, or the roots alone."""
+def with_roots(nodes: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """Nodes with their components' roots."""
     if tied is None:
         return nodes.select("n", "fp", F.col("n").alias("root"))
     rooted = nodes.join(tied.withColumnRenamed("node", "n"), "n", "left")
-    return (rooted.where(F.col("root").isNull()) if survivors else rooted).select("n", "fp", F.coalesce("root", "n").alias("root"))
+    return rooted.select("n", "fp", F.coalesce("root", "n").alias("root"))
 
 
 def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: int, part: tuple[int, int], seed: int) -> tuple[DataFrame, DataFrame]:
