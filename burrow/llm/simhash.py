@@ -8,9 +8,9 @@ distinct.) A group ties each of its members to the first member that links reach
 
 ``near_duplicates`` serves shingle similarity. Fingerprints of 2048 bits estimate it: at Jaccard similarity J of
 word shingle sets the share of differing bits is acos(2J / (1 + J)) / pi, with a standard deviation of 0.008 at
-0.8. Blocks are seeded subsets of the bits; a block's members are compared with the member of the smallest hash,
-unless they are of one component already; members of crowded blocks go through further rounds with other blocks and
-hashes until a round finds no link.
+0.8. Blocks are seeded subsets of the bits. Up to ``GROUP`` members of a block are all compared with each other, unless
+they are of one component already. Members of a more crowded block are compared with its member of the smallest hash,
+and go through further rounds with other hashes and other, ever wider blocks until a round finds no link.
 
 Cases: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words
 than a shingle are one shingle; texts are read whole; repeated rows are kept by ``link_fingerprints`` and are one
@@ -197,11 +197,11 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *, words: int = 32, blocks: int = 160, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *, words: int = 32, blocks: int = 160, group: int = GROUP, seed: int = 42) -> DataFrame:
     """``doc_id, text_hash, n, root``: a row for each distinct document and text; documents of one ``root`` are near-duplicates.
 
     The number of bits in a block follows the number of documents, so that unrelated documents meet in a bounded
-    number of blocks each at every size.
+    number of blocks each at every size. Further rounds take the members of crowded blocks, with fresh and wider blocks.
     """
     prints = stored(fingerprints(docs, width, words, seed).withColumn("n", F.xxhash64("fp")))
     nodes = stored(prints.groupBy("n").agg(F.first("fp").alias("fp")))
@@ -213,20 +213,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
     active, links, turn, fresh = nodes, None, 0, True
     while fresh:
         fresh, wide = False, None
-        for part in parts if turn == 0 else [(0, blocks)]:
+        for part in parts:
             tied = components(links) if links is not None else None
             rooted = stored(with_roots(active, tied))
-            some, crowded = links_of_round(rooted, most, size, words, blocks, part, seed + turn)
+            some, crowded = links_of_round(rooted, most, min(60, size + 4 * max(0, turn - 1)), words, blocks, part, group, seed + turn)
             fresh |= bool(some.head(1))
             links = some if links is None else links.unionAll(some)
             wide = crowded if wide is None else wide.unionAll(crowded)
             for used in (rooted, tied):
                 drop(used)
-        if fresh:
-            last, active = active, stored(nodes.join(wide.distinct(), "n", "left_semi"))
-            fresh = bool(active.head(1))
-            if last is not nodes:
-                drop(last)
+        last, active = active, stored(nodes.join(wide.distinct(), "n", "left_semi"))
+        # the first round's links may hide what its crowded blocks hold, so that a second one always looks
+        fresh = (fresh or turn == 0) and bool(active.head(1))
+        if last is not nodes:
+            drop(last)
         turn += 1
     tied = components(links)
     return prints.join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
@@ -240,8 +240,25 @@ def with_roots(nodes: DataFrame, tied: DataFrame | None) -> DataFrame:
     return rooted.select("n", "fp", F.coalesce("root", "n").alias("root"))
 
 
-def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: int, part: tuple[int, int], seed: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links ``a, b`` of each node with the smallest-hashed member of each of its blocks from ``part``, and the nodes ``n`` of blocks with over two members. Nodes of one root are not compared."""
+def block_links(n: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that tie a block's members as all its close pairs of different roots would."""
+    found, stem = [], np.unique(root, return_inverse=True)[1]
+    for i in range(len(n) - 1):
+        others = i + 1 + np.flatnonzero(stem[i + 1 :] != stem[i])
+        close = others[np.bitwise_count(prints[others] ^ prints[i]).sum(1) <= most]
+        for j in close:
+            if stem[j] != stem[i]:
+                found.append((int(n[i]), int(n[j])))
+                stem[stem == stem[j]] = stem[i]
+    return found
+
+
+def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: int, part: tuple[int, int], group: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``a, b`` within the blocks from ``part``, and the nodes ``n`` of crowded blocks.
+
+    Up to ``group`` members of a block are all compared with each other; each member of a crowded block with the
+    block's member of the smallest hash. Nodes of one root are not compared, nor are blocks of a single root.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -265,10 +282,28 @@ def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: i
     first = F.xxhash64("n", F.lit(seed))
     groups = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("n", first).alias("pivot"), F.min_by("root", first).alias("pivot_root"))
     groups = stored(groups.where("low <> high").select("key", "members", "pivot", "pivot_root"))
-    pairs = rows.join(groups, (rows.key == groups.key) & (rows.root != groups.pivot_root))
-    met = stored(pairs.groupBy("n", "pivot").agg(F.max("members").alias("members")))
-    left = met.join(nodes.select("n", F.col("fp").alias("fp_n")), "n")
-    both = left.join(nodes.select(F.col("n").alias("pivot"), F.col("fp").alias("fp_p")), "pivot")
+    fp_n = nodes.select("n", F.col("fp").alias("fp_n"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members"):
+                n, root, fp = (members.values.field(c) for c in ("n", "root", "fp_n"))
+                found = block_links(n.to_numpy(), root.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(n), words), most)
+                a, b = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    small = rows.join(groups.where(F.col("members") <= group).select("key"), "key")
+    small = small.join(fp_n, "n").groupBy("key").agg(F.collect_list(F.struct("n", "root", "fp_n")).alias("members"))
+    links = small.select("members").mapInArrow(compare, "a long, b long")
+
+    large = groups.where(F.col("members") > group)
+    if not large.head(1):
+        links, none = stored(links.distinct()), nodes.select("n").limit(0)
+        drop(groups)
+        return links, none
+    pairs = rows.join(large, "key").where("root <> pivot_root")
+    met = stored(pairs.select("n", "pivot").distinct())
+    both = met.join(fp_n, "n").join(nodes.select(F.col("n").alias("pivot"), F.col("fp").alias("fp_p")), "pivot")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,9 +313,8 @@ def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: i
                 close = pa.array(np.bitwise_count(a ^ b).sum(1) <= most)
                 yield pa.RecordBatch.from_arrays([some.column("n").filter(close), some.column("pivot").filter(close)], names=["a", "b"])
 
-    links = stored(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long"))
-    wide = met.where("members > 2")
-    wide = stored(wide.select("n").unionAll(wide.select("pivot")).distinct())
+    links = stored(links.unionAll(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long")).distinct())
+    wide = stored(rows.join(large.select("key"), "key").select("n").distinct())
     for used in (groups, met):
         drop(used)
     return links, wide
