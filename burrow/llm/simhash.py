@@ -8,9 +8,9 @@ distinct.) A group ties each of its members to the first member that links reach
 
 ``near_duplicates`` serves shingle similarity. Fingerprints of 2048 bits estimate it: at Jaccard similarity J of
 word shingle sets the share of differing bits is acos(2J / (1 + J)) / pi, with a standard deviation of 0.008 at
-0.8. Blocks are seeded subsets of the bits. Up to ``GROUP`` members of a block are all compared with each other, unless
-they are of one component already. Members of a more crowded block are compared with its member of the smallest hash,
-and go through further rounds with other hashes and other, ever wider blocks until a round finds no link.
+0.8. Blocks are seeded subsets of the bits. A block's members are compared with its member of the smallest hash; if
+several components are left, up to ``GROUP`` members are all compared with each other. The members of blocks still more
+crowded go through further rounds with other hashes and other, ever wider blocks until a round finds no link.
 
 Cases: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words
 than a shingle are one shingle; texts are read whole; repeated rows are kept by ``link_fingerprints`` and are one
@@ -210,17 +210,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
     size = max(16, min(60, total.bit_length() + 6))
     # few blocks first: what they tie needs no comparing in the others
     parts = [(blocks * i // 10, blocks * j // 10) for i, j in ((0, 1), (1, 4), (4, 10))]
-    active, links, turn, fresh = nodes, None, 0, True
+    active, tied, turn, fresh = nodes, None, 0, True
     while fresh:
         fresh, wide = False, None
         for part in parts:
-            tied = components(links) if links is not None else None
             rooted = stored(with_roots(active, tied))
-            some, crowded = links_of_round(rooted, most, min(60, size + 4 * max(0, turn - 1)), words, blocks, part, group, seed + turn)
-            fresh |= bool(some.head(1))
-            links = some if links is None else links.unionAll(some)
+            before, (tied, found, crowded) = tied, links_of_round(rooted, tied, most, min(60, size + 4 * max(0, turn - 1)), words, blocks, part, group, seed + turn)
+            fresh |= found
             wide = crowded if wide is None else wide.unionAll(crowded)
-            for used in (rooted, tied):
+            for used in (rooted, before):
                 drop(used)
         last, active = active, stored(nodes.join(wide.distinct(), "n", "left_semi"))
         # the first round's links may hide what its crowded blocks hold, so that a second one always looks
@@ -228,16 +226,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
         if last is not nodes:
             drop(last)
         turn += 1
-    tied = components(links)
     return prints.join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
 
 
-def with_roots(nodes: DataFrame, tied: DataFrame | None) -> DataFrame:
-    """Nodes with their components' roots."""
+def with_roots(nodes: DataFrame, tied: DataFrame | None, *carried: str) -> DataFrame:
+    """``n``, the ``carried`` columns (``fp`` if none) and the components' roots."""
+    kept = ["n", *(carried or ("fp",))]
     if tied is None:
-        return nodes.select("n", "fp", F.col("n").alias("root"))
+        return nodes.select(*kept, F.col("n").alias("root"))
     rooted = nodes.join(tied.withColumnRenamed("node", "n"), "n", "left")
-    return rooted.select("n", "fp", F.coalesce("root", "n").alias("root"))
+    return rooted.select(*kept, F.coalesce("root", "n").alias("root"))
 
 
 def block_links(n: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -253,11 +251,16 @@ def block_links(n: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int)
     return found
 
 
-def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: int, part: tuple[int, int], group: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links ``a, b`` within the blocks from ``part``, and the nodes ``n`` of crowded blocks.
+def with_links(tied: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of what is tied already and of ``links``."""
+    return components(links if tied is None else links.unionAll(tied.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    Up to ``group`` members of a block are all compared with each other; each member of a crowded block with the
-    block's member of the smallest hash. Nodes of one root are not compared, nor are blocks of a single root.
+
+def links_of_round(nodes: DataFrame, tied: DataFrame | None, most: int, size: int, words: int, blocks: int, part: tuple[int, int], group: int, seed: int) -> tuple[DataFrame, bool, DataFrame]:
+    """Components with the verified links within the blocks from ``part``, whether there are any, and the nodes ``n`` of crowded blocks.
+
+    First each member of a block is compared with the block's member of the smallest hash. Then blocks that still hold
+    several roots have up to ``group`` members all compared with each other, and count as crowded beyond that.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,28 +285,10 @@ def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: i
     first = F.xxhash64("n", F.lit(seed))
     groups = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("n", first).alias("pivot"), F.min_by("root", first).alias("pivot_root"))
     groups = stored(groups.where("low <> high").select("key", "members", "pivot", "pivot_root"))
+    met = stored(rows.join(groups, "key").select("key", "n", "root", "members", "pivot", "pivot_root"))
+    pairs = met.where("root <> pivot_root").select("n", "pivot").distinct()
     fp_n = nodes.select("n", F.col("fp").alias("fp_n"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in batch.column("members"):
-                n, root, fp = (members.values.field(c) for c in ("n", "root", "fp_n"))
-                found = block_links(n.to_numpy(), root.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(n), words), most)
-                a, b = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
-    small = rows.join(groups.where(F.col("members") <= group).select("key"), "key")
-    small = small.join(fp_n, "n").groupBy("key").agg(F.collect_list(F.struct("n", "root", "fp_n")).alias("members"))
-    links = small.select("members").mapInArrow(compare, "a long, b long")
-
-    large = groups.where(F.col("members") > group)
-    if not large.head(1):
-        links, none = stored(links.distinct()), nodes.select("n").limit(0)
-        drop(groups)
-        return links, none
-    pairs = rows.join(large, "key").where("root <> pivot_root")
-    met = stored(pairs.select("n", "pivot").distinct())
-    both = met.join(fp_n, "n").join(nodes.select(F.col("n").alias("pivot"), F.col("fp").alias("fp_p")), "pivot")
+    both = pairs.join(fp_n, "n").join(nodes.select(F.col("n").alias("pivot"), F.col("fp").alias("fp_p")), "pivot")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,11 +298,29 @@ def links_of_round(nodes: DataFrame, most: int, size: int, words: int, blocks: i
                 close = pa.array(np.bitwise_count(a ^ b).sum(1) <= most)
                 yield pa.RecordBatch.from_arrays([some.column("n").filter(close), some.column("pivot").filter(close)], names=["a", "b"])
 
-    links = stored(links.unionAll(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long")).distinct())
-    wide = stored(rows.join(large.select("key"), "key").select("n").distinct())
-    for used in (groups, met):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members"):
+                n, root, fp = (members.values.field(c) for c in ("n", "root", "fp_n"))
+                found = block_links(n.to_numpy(), root.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(n), words), most)
+                a, b = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    by_pivot = stored(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long"))
+    found, now = bool(by_pivot.head(1)), with_links(tied, by_pivot)
+    more = stored(with_roots(met.where("members > 2").select("key", "n", "members"), now, "key", "members"))
+    open_keys = more.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("members").alias("held")).where("low <> high").select("key", "held")
+    open_keys = stored(open_keys)
+    small = more.join(open_keys.where(F.col("held") <= group).select("key"), "key").select("key", "n", "root").join(fp_n, "n")
+    small = small.groupBy("key").agg(F.collect_list(F.struct("n", "root", "fp_n")).alias("members"))
+    within = stored(small.select("members").mapInArrow(compare, "a long, b long").distinct())
+    if within.head(1):
+        found, before, now = True, now, with_links(now, within)
+        drop(before)
+    wide = stored(more.join(open_keys.where(F.col("held") > group).select("key"), "key").select("n").distinct())
+    for used in (groups, met, by_pivot, more, open_keys, within):
         drop(used)
-    return links, wide
+    return now, found, wide
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
