@@ -135,3 +135,27 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
     got = simhash.drop_near_duplicates(awkward).collect()
     assert Counter(r.doc_id for r in got) == Counter([1, 4, 5, 6, 7, 8, 9, 10, 12, None])
     assert simhash.drop_near_duplicates(awkward.limit(0)).count() == 0
+
+
+def test_block_links():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        m = int(rng.integers(2, 40))
+        prints = rng.integers(0, 2**60, (m, 1), dtype=np.uint64)
+        prints[m // 2 :] = prints[: m - m // 2] ^ np.uint64(3)
+        tied = rng.integers(0, 5, m)
+        pairs = [(i, j) for i in range(m) for j in range(i)]
+        same = [(i, j) for i, j in pairs if tied[i] == tied[j]]
+        close = [(i, j) for i, j in pairs if int(prints[i, 0] ^ prints[j, 0]).bit_count() <= 2]
+        assert roots(range(m), same + simhash.block_links(np.arange(m), tied, prints, 2)) == roots(range(m), same + close)
+
+
+def test_near_duplicates_in_crowded_blocks(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for _ in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows += [(len(rows) + i, edited(rng, words, 0.01)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(docs, group=2).collect()
+    assert len({r.root for r in found}) == 3
