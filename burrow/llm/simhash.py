@@ -6,13 +6,14 @@ compared as a whole, but its remaining bits are split into three blocks again, u
 cannot touch three blocks, so no link is lost, and the last groups have few members since fingerprints are
 distinct.) A group ties each of its members to the first member that links reach.
 
-``near_duplicates`` serves shingle similarity. Fingerprints of 2048 bits estimate it: at Jaccard similarity J of
-word shingle sets the share of differing bits is acos(2J / (1 + J)) / pi, with a standard deviation of 0.008 at
-0.8. Blocks are seeded subsets of the bits. A block's members are compared with its member of the smallest hash; if
-several components are left, up to ``GROUP`` members are all compared with each other. The members of blocks still more
-crowded go through further rounds with other hashes and other, ever wider blocks until a round finds no link.
-
-Cases: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words
+``near_duplicates`` serves the Jaccard similarity of shingle sets. Texts meet in blocks: a block's key is made of
+``VALUES`` minima of the set's hashes, each under another seeded order, so that two texts of similarity J share it with
+probability J ** VALUES whatever the size of the table. The number of blocks follows from ``FLOOR``, the least
+probability that texts of just the wanted similarity meet at all. What meets is decided by the exact similarity of the
+sets. A block's members are compared with its member of the smallest hash; blocks that still hold several components are
+compared in full, those of more than ``GROUP`` members in tiles over several tasks.
+
+Cases: null and empty texts have no words, the fingerprint zero and the empty set, linked like any other; texts of fewer words
 than a shingle are one shingle; texts are read whole; repeated rows are kept by ``link_fingerprints`` and are one
 document to ``near_duplicates``; null ids count as larger than any other; empty tables give an empty result; other
 columns are ignored, or carried along by ``drop_near_duplicates``.
@@ -21,7 +22,7 @@ columns are ignored, or carried along by ``drop_near_duplicates``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, drop, stored
 from .graph import components
 
-#: Fingerprints up to which a block value's members are compared with each other.
+#: Members up to which a block is compared as a whole.
 GROUP = 256
+#: Minima in a block's key, and the least probability that texts of the wanted similarity meet in a block.
+VALUES, FLOOR = 6, 0.9999
 #: Shingles whose hashes are held at once.
 PIECE = 1 << 14
 
@@ -192,135 +195,183 @@ def link_fingerprints(docs: DataFrame, width: int = 3, distance: int = 2, seed:
     return prints.join(named, prints.fp == named.print).select("doc_id", "fp", "component_id")
 
 
-def share_of_bits(similarity: float) -> float:
-    """The expected share of differing bits at a Jaccard similarity of shingle sets of like size."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shingle_set(text: str | None, width: int, seed: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width, seed)]))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *, words: int = 32, blocks: int = 160, group: int = GROUP, seed: int = 42) -> DataFrame:
-    """``doc_id, text_hash, n, root``: a row for each distinct document and text; documents of one ``root`` are near-duplicates.
+def blocks_needed(similarity: float, values: int = VALUES, floor: float = FLOOR) -> int:
+    """Blocks by which texts of ``similarity`` meet with a probability of ``floor`` at least; texts alike in all meet in one."""
+    return max(1, math.ceil(math.log(1 - floor) / math.log1p(-(similarity**values)))) if similarity < 1 else 1
 
-    The number of bits in a block follows the number of documents, so that unrelated documents meet in a bounded
-    number of blocks each at every size. Further rounds take the members of crowded blocks, with fresh and wider blocks.
-    """
-    prints = stored(fingerprints(docs, width, words, seed).withColumn("n", F.xxhash64("fp")))
-    nodes = stored(prints.groupBy("n").agg(F.first("fp").alias("fp")))
-    total = nodes.count()
-    most = int(words * 64 * share_of_bits(similarity))
-    size = max(16, min(60, total.bit_length() + 6))
-    # few blocks first: what they tie needs no comparing in the others
-    parts = [(blocks * i // 10, blocks * j // 10) for i, j in ((0, 1), (1, 4), (4, 10))]
-    active, tied, turn, fresh = nodes, None, 0, True
-    while fresh:
-        fresh, wide = False, None
-        for part in parts:
-            rooted = stored(with_roots(active, tied))
-            before, (tied, found, crowded) = tied, links_of_round(rooted, tied, most, min(60, size + 4 * max(0, turn - 1)), words, blocks, part, group, seed + turn)
-            fresh |= found
-            wide = crowded if wide is None else wide.unionAll(crowded)
-            for used in (rooted, before):
-                drop(used)
-        last, active = active, stored(nodes.join(wide.distinct(), "n", "left_semi"))
-        # the first round's links may hide what its crowded blocks hold, so that a second one always looks
-        fresh = (fresh or turn == 0) and bool(active.head(1))
-        if last is not nodes:
-            drop(last)
-        turn += 1
-    return prints.join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
-
-
-def with_roots(nodes: DataFrame, tied: DataFrame | None, *carried: str) -> DataFrame:
-    """``n``, the ``carried`` columns (``fp`` if none) and the components' roots."""
-    kept = ["n", *(carried or ("fp",))]
-    if tied is None:
-        return nodes.select(*kept, F.col("n").alias("root"))
-    rooted = nodes.join(tied.withColumnRenamed("node", "n"), "n", "left")
-    return rooted.select(*kept, F.coalesce("root", "n").alias("root"))
 
+def block_keys(hashes: np.ndarray, blocks: int, values: int, seed: int) -> np.ndarray:
+    """A key for each block, made of ``values`` minima of the hashes under that block's own seeded orders."""
+    rng = np.random.default_rng(seed)
+    factor, shift = (rng.integers(0, 2**64, blocks * values, dtype=np.uint64) for _ in range(2))
+    least = np.full(blocks * values, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 256):
+        least = np.minimum(least, (hashes[at : at + 256, None] * (factor | np.uint64(1)) + shift).min(0))
+    keys = np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in least.reshape(blocks, values).T:
+        keys = (keys ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+    return keys
 
-def block_links(n: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that tie a block's members as all its close pairs of different roots would."""
+
+def set_prints(docs: DataFrame, width: int, blocks: int, values: int, seed: int) -> DataFrame:
+    """``doc_id, text_hash, n, size, keys``: ``n`` tells shingle sets apart, ``size`` counts them, ``keys`` are the blocks'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                n, size, keys = [], [], []
+                for text in some.column("text").to_pylist():
+                    hashes = shingle_set(text, width, seed)
+                    n.append(xxhash.xxh64_intdigest(hashes.tobytes(), seed))
+                    size.append(len(hashes))
+                    keys.append(block_keys(hashes, blocks, values, seed).tobytes())
+                columns = [pa.array(np.array(n, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), *columns], names=["doc_id", "text_hash", "n", "size", "keys"])
+
+    chosen = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, text_hash long, n long, size long, keys binary")
+
+
+def similar(common: np.ndarray, size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes with so many common members have the Jaccard similarity or more."""
+    return common >= similarity * (size + other - common) - 1e-9
+
+
+def linked(n: np.ndarray, root: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that tie members as all pairs of different roots would for which ``near(i, others)`` holds."""
     found, stem = [], np.unique(root, return_inverse=True)[1]
     for i in range(len(n) - 1):
         others = i + 1 + np.flatnonzero(stem[i + 1 :] != stem[i])
-        close = others[np.bitwise_count(prints[others] ^ prints[i]).sum(1) <= most]
-        for j in close:
+        if not len(others):
+            continue
+        for j in others[near(i, others)]:
             if stem[j] != stem[i]:
                 found.append((int(n[i]), int(n[j])))
                 stem[stem == stem[j]] = stem[i]
     return found
 
 
-def with_links(tied: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of what is tied already and of ``links``."""
-    return components(links if tied is None else links.unionAll(tied.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+def block_links(n: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """``linked`` by fingerprints of ``most`` or fewer differing bits."""
+    return linked(n, root, lambda i, others: np.bitwise_count(prints[others] ^ prints[i]).sum(1) <= most)
+
 
+def set_links(n: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """``linked`` by the exact Jaccard similarity of sorted sets."""
+    size = np.array([len(s) for s in sets])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(size)])
 
-def links_of_round(nodes: DataFrame, tied: DataFrame | None, most: int, size: int, words: int, blocks: int, part: tuple[int, int], group: int, seed: int) -> tuple[DataFrame, bool, DataFrame]:
-    """Components with the verified links within the blocks from ``part``, whether there are any, and the nodes ``n`` of crowded blocks.
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        mine = np.zeros(len(names), bool)
+        mine[at[ends[i] : ends[i + 1]]] = True
+        before = np.concatenate([[0], np.cumsum(mine[at])])
+        return similar((before[ends[1:]] - before[ends[:-1]])[others], size[others], size[i], similarity)
 
-    First each member of a block is compared with the block's member of the smallest hash. Then blocks that still hold
-    several roots have up to ``group`` members all compared with each other, and count as crowded beyond that.
-    """
+    return linked(n, root, near)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *, group: int = GROUP, seed: int = 42) -> DataFrame:
+    """``doc_id, text_hash, n, root``: a row for each document; documents of one ``root`` are near-duplicates."""
+    blocks = blocks_needed(similarity)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
-        chosen = np.stack([rng.choice(words * 64, size, replace=False) for _ in range(blocks)])
-        place = (np.uint64(1) << np.arange(size, dtype=np.uint64))[None, :]
-        names = rng.integers(0, 2**63, blocks, dtype=np.uint64)[slice(*part)]
-        chosen = chosen[slice(*part)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                raw = np.frombuffer(b"".join(some.column("fp").to_pylist()), np.uint8).reshape(some.num_rows, words * 8)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")
-                keys = np.stack([(bits[:, c] * place).sum(1, dtype=np.uint64) for c in chosen], axis=1)
-                keys = (keys + names[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-                keys ^= keys >> np.uint64(29)
-                keys = (keys * np.uint64(0xBF58476D1CE4E5B9)) ^ names[None, :]
-                n, root = (pa.array(np.repeat(some.column(c).to_numpy(), len(chosen))) for c in ("n", "root"))
-                yield pa.RecordBatch.from_arrays([n, root, pa.array(keys.ravel().view(np.int64))], names=["n", "root", "key"])
-
-    rows = nodes.mapInArrow(spread, "n long, root long, key long")
-    first = F.xxhash64("n", F.lit(seed))
-    groups = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("n", first).alias("pivot"), F.min_by("root", first).alias("pivot_root"))
-    groups = stored(groups.where("low <> high").select("key", "members", "pivot", "pivot_root"))
-    met = stored(rows.join(groups, "key").select("key", "n", "root", "members", "pivot", "pivot_root"))
-    pairs = met.where("root <> pivot_root").select("n", "pivot").distinct()
-    fp_n = nodes.select("n", F.col("fp").alias("fp_n"))
-    both = pairs.join(fp_n, "n").join(nodes.select(F.col("n").alias("pivot"), F.col("fp").alias("fp_p")), "pivot")
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                n, size = (pa.array(np.repeat(some.column(c).to_numpy(), blocks)) for c in ("n", "size"))
+                yield pa.RecordBatch.from_arrays([n, size, pa.array(np.frombuffer(b"".join(some.column("keys").to_pylist()), np.int64))], names=["n", "size", "key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                some = batch.slice(at, 4096)
-                a, b = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint64).reshape(some.num_rows, words) for c in ("fp_n", "fp_p"))
-                close = pa.array(np.bitwise_count(a ^ b).sum(1) <= most)
-                yield pa.RecordBatch.from_arrays([some.column("n").filter(close), some.column("pivot").filter(close)], names=["a", "b"])
+            n, pivot, text, other = (batch.column(c) for c in ("n", "pivot", "text", "pivot_text"))
+            close, known, held = [], None, None
+            for i in range(batch.num_rows):
+                if pivot[i].as_py() != known:
+                    known, held = pivot[i].as_py(), shingle_set(other[i].as_py(), width, seed)
+                own = shingle_set(text[i].as_py(), width, seed)
+                close.append(bool(similar(len(np.intersect1d(own, held, assume_unique=True)), len(own), len(held), similarity)))
+            yield pa.RecordBatch.from_arrays([n.filter(pa.array(close, pa.bool_())), pivot.filter(pa.array(close, pa.bool_()))], names=["a", "b"])
+
+    prints = stored(set_prints(docs, width, blocks, VALUES, seed))
+    nodes = stored(prints.groupBy("n").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    rows = nodes.select("n", "size", "keys").mapInArrow(spread, "n long, size long, key long")
+    first = F.min_by(F.struct("n", "size"), F.xxhash64("n", F.lit(seed)))
+    groups = stored(rows.groupBy("key").agg(F.count("*").alias("members"), first.alias("p")).where("members > 1").select("key", F.col("p.n").alias("pivot"), F.col("p.size").alias("pivot_size")))
+    met = stored(rows.join(groups, "key"))
+    wanted = nodes.select("n", "text_hash").join(met.select("n").distinct(), "n")
+    held = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").join(wanted, "text_hash")
+    texts = stored(held.groupBy("n").agg(F.first("text").alias("text")))
+    # sets of too unlike sizes cannot be similar
+    fit = F.least("size", "pivot_size") >= F.lit(similarity) * F.greatest("size", "pivot_size") - 1e-9
+    pairs = met.where("n <> pivot").where(fit).select("n", "pivot").distinct()
+    both = pairs.join(texts, "n").join(texts.select(F.col("n").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    by_pivot = stored(both.select("n", "pivot", "text", "pivot_text").mapInArrow(verify, "a long, b long"))
+    tied = components(by_pivot)
+    within = stored(links_in_tiles(met, tied, texts, width, similarity, group, seed))
+    if within.head(1):
+        before, tied = tied, components(within.unionAll(tied.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        drop(before)
+    for used in (nodes, groups, met, texts, by_pivot, within):
+        drop(used)
+    return prints.select("doc_id", "text_hash", "n").join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
+
+
+def links_in_tiles(met: DataFrame, tied: DataFrame, texts: DataFrame, width: int, similarity: float, group: int, seed: int) -> DataFrame:
+    """``a, b``: links that tie the blocks' members as a comparison of all pairs of different roots in each block would.
+
+    The members of a block are strays if their root is not the pivot's. Strays and the rest are dealt to parts of about
+    ``group`` members; every part of strays is compared with itself and each other part, in a tile of its own.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            found = set_links(np.array(n), np.array(root), sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        tile, n, root, sets = None, [], [], []
         for batch in batches:
-            for members in batch.column("members"):
-                n, root, fp = (members.values.field(c) for c in ("n", "root", "fp_n"))
-                found = block_links(n.to_numpy(), root.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(n), words), most)
-                a, b = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
-    by_pivot = stored(both.select("n", "pivot", "fp_n", "fp_p").mapInArrow(verify, "a long, b long"))
-    found, now = bool(by_pivot.head(1)), with_links(tied, by_pivot)
-    more = stored(with_roots(met.where("members > 2").select("key", "n", "members"), now, "key", "members"))
-    open_keys = more.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("members").alias("held")).where("low <> high").select("key", "held")
-    open_keys = stored(open_keys)
-    small = more.join(open_keys.where(F.col("held") <= group).select("key"), "key").select("key", "n", "root").join(fp_n, "n")
-    small = small.groupBy("key").agg(F.collect_list(F.struct("n", "root", "fp_n")).alias("members"))
-    within = stored(small.select("members").mapInArrow(compare, "a long, b long").distinct())
-    if within.head(1):
-        found, before, now = True, now, with_links(now, within)
-        drop(before)
-    wide = stored(more.join(open_keys.where(F.col("held") > group).select("key"), "key").select("n").distinct())
-    for used in (groups, met, by_pivot, more, open_keys, within):
+            for i in range(batch.num_rows):
+                at, member, stem, text = (batch.column(c)[i].as_py() for c in ("tile", "n", "root", "text"))
+                if at != tile and n:
+                    yield links()
+                    n, root, sets = [], [], []
+                tile = at
+                n.append(member)
+                root.append(stem)
+                sets.append(shingle_set(text, width, seed))
+        if n:
+            yield links()
+
+    more = met.select("key", "n", "pivot").join(tied.withColumnRenamed("node", "n"), "n", "left")
+    more = stored(more.select("key", "n", "pivot", F.coalesce("root", "n").alias("root")))
+    home = F.max(F.when(F.col("n") == F.col("pivot"), F.col("root"))).alias("home")
+    several = more.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), home).where("low <> high").select("key", "home")
+    open_rows = stored(more.join(several, "key").select("key", "n", "root", (F.col("root") != F.col("home")).alias("stray")))
+    parts = lambda stray: F.ceil(F.count_if(F.col("stray") if stray else ~F.col("stray")) / group).cast("long")
+    dealt = open_rows.join(open_rows.groupBy("key").agg(parts(True).alias("s"), parts(False).alias("d")), "key")
+    # a part of strays meets each other part of strays under the smaller number of both, and the rest's parts under negative ones
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    mine = F.pmod(F.xxhash64("n", F.lit(seed + 1)), F.when(F.col("stray"), F.col("s")).otherwise(F.col("d")))
+    dealt = dealt.withColumn("mine", mine)
+    with_rest = F.transform(upto("d"), lambda j: F.xxhash64("key", "mine", -1 - j))
+    with_strays = F.transform(F.filter(upto("s"), lambda x: x != F.col("mine")), lambda x: F.xxhash64("key", F.least("mine", x), F.greatest("mine", x)))
+    of_rest = F.transform(upto("s"), lambda i: F.xxhash64("key", i, -1 - F.col("mine")))
+    tiles = stored(dealt.select("n", "root", F.explode(F.when(F.col("stray"), F.concat(with_rest, with_strays)).otherwise(of_rest)).alias("tile")))
+    # tiles of the same members in several blocks are compared once
+    held = tiles.groupBy("tile").agg(F.bit_xor(F.xxhash64("n")).alias("x"), F.bit_xor(F.xxhash64("n", F.lit(1))).alias("y"), F.count("*").alias("m"))
+    once = held.groupBy("x", "y", "m").agg(F.min("tile").alias("tile")).select("tile")
+    found = stored(tiles.join(once, "tile").join(texts, "n").select("tile", "n", "root", "text").repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long").distinct())
+    for used in (more, open_rows, tiles):
         drop(used)
-    return now, found, wide
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

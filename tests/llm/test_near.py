@@ -159,3 +159,38 @@ def test_near_duplicates_in_crowded_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = simhash.near_duplicates(docs, group=2).collect()
     assert len({r.root for r in found}) == 3
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def found_roots(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.root for r in simhash.near_duplicates(docs, **options).collect()}
+
+
+def partition(root):
+    groups = defaultdict(set)
+    for i, r in root.items():
+        groups[r].add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+def brute_partition(texts, similarity=0.8):
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= similarity]
+    return partition(roots(range(len(texts)), close))
+
+
+def test_blocks_let_pairs_meet_at_every_size():
+    blocks = simhash.blocks_needed(0.8)
+    assert 1 - (1 - 0.8**simhash.VALUES) ** blocks >= simhash.FLOOR >= 0.99
+    rng = np.random.default_rng(23)
+    met = []
+    for _ in range(400):
+        h = rng.integers(0, 2**64, 180, dtype=np.uint64)  # 160 shared of 200: similarity 0.8, 180 in each
+        a, b = h, np.concatenate([h[:160], rng.integers(0, 2**64, 20, dtype=np.uint64)])
+        met.append((simhash.block_keys(a, blocks, simhash.VALUES, 42) == simhash.block_keys(b, blocks, simhash.VALUES, 42)).sum())
+    assert min(met) > 0
+    assert abs(np.mean(met) / blocks - 0.8**simhash.VALUES) < 0.03
