@@ -194,3 +194,15 @@ def test_blocks_let_pairs_meet_at_every_size():
         met.append((simhash.block_keys(a, blocks, simhash.VALUES, 42) == simhash.block_keys(b, blocks, simhash.VALUES, 42)).sum())
     assert min(met) > 0
     assert abs(np.mean(met) / blocks - 0.8**simhash.VALUES) < 0.03
+
+
+def test_near_duplicates_count_shingles_once(spark):
+    rng = np.random.default_rng(29)
+    own = lambda n: " ".join(f"o{x}" for x in rng.integers(0, 1 << 30, n))
+    line = own(60)
+    repeated = [f"{own(100)} " + " ".join([line] * 20) for _ in range(2)]  # alike by repeats only
+    text = own(50)
+    same = [" ".join([line] * 2 + [text]), " ".join([line] * 20 + [text])]  # equal shingle sets
+    texts = [*repeated, *same]
+    assert jaccard(*repeated) < 0.5 and jaccard(*same) == 1
+    assert partition(found_roots(spark, texts)) == brute_partition(texts) == [[0], [1], [2, 3]]
