@@ -206,3 +206,14 @@ def test_near_duplicates_count_shingles_once(spark):
     texts = [*repeated, *same]
     assert jaccard(*repeated) < 0.5 and jaccard(*same) == 1
     assert partition(found_roots(spark, texts)) == brute_partition(texts) == [[0], [1], [2, 3]]
+
+
+def test_near_duplicates_near_the_threshold(spark):
+    rng = np.random.default_rng(31)
+    texts = []
+    for shared, first, second in [(4, 1, 0), (5, 1, 0), (6, 1, 0), (12, 3, 0), (11, 3, 0), (20, 2, 3), (28, 3, 4), (28, 4, 4), (44, 5, 6), (44, 6, 6), (90, 10, 12), (90, 11, 12)] * 3:
+        words = [f"s{x}" for x in rng.integers(0, 1 << 30, shared + 4)]
+        for more in (first, second):
+            texts.append(" ".join([*words, *[f"e{x}" for x in rng.integers(0, 1 << 30, more)]]))
+    assert any(0.75 <= jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert partition(found_roots(spark, texts)) == brute_partition(texts)
