@@ -217,3 +217,14 @@ def test_near_duplicates_near_the_threshold(spark):
             texts.append(" ".join([*words, *[f"e{x}" for x in rng.integers(0, 1 << 30, more)]]))
     assert any(0.75 <= jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
     assert partition(found_roots(spark, texts)) == brute_partition(texts)
+
+
+def test_family_is_compared_in_full(spark):
+    rng = np.random.default_rng(37)
+    base = [f"b{x}" for x in rng.integers(0, 1 << 30, 164)]
+    family = [" ".join(base + [f"f{x}" for x in rng.integers(0, 1 << 30, 34)]) for _ in range(60)]  # about 0.7 to each other
+    pairs = [" ".join(t.split()[:-8] + [f"n{i}x{k}" for k in range(8)]) for i, t in enumerate(family[:30])]  # 0.92 to their origins
+    texts = [*family, *pairs]
+    want = brute_partition(texts)
+    assert len(want) == 60
+    assert partition(found_roots(spark, texts, group=4)) == partition(found_roots(spark, texts)) == want
