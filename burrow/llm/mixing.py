@@ -3,9 +3,9 @@
 A softmax classifier, trained on a bounded sample of a labelled table, gives each document a posterior over domains
 from its byte histogram and its words' log odds. Nonnegative document rates are then fitted so that the expected tokens of
 each domain, the sum over documents of rate x tokens x posterior, match the targets: projected gradient steps on
-the squared residuals, from rates of 1. Rates stay between 0 and ``MAX_RATE``, the most often that a document may
-be repeated; targets out of reach of such rates are approached as near as they allow. A step is taken in the
-metric of the domains' overlap among documents off the bounds, and, where that doesn't lessen the residuals, along
+the squared residuals, from rates of 1. Rates have no upper bound unless the caller gives one; targets out of reach
+(of a given bound, or of the posteriors) are approached as near as they allow. A step is taken in the metric of the
+domains' overlap among documents off the bounds, and, where that doesn't lessen the residuals, along
 the plain gradient. It needs one distributed sum of a few numbers; a document's rate follows from its posterior
 and the steps, so rates are column expressions and no document is ever collected.
 
@@ -17,6 +17,7 @@ documents each, of one rate; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -32,8 +33,6 @@ from .quality import with_vector
 #: Labelled rows that training may use.
 SAMPLE_ROWS = 4_000
 BUCKETS = 1 << 14
-#: The largest rate of a document.
-MAX_RATE = 4.0
 #: Trials of steps at most, and the largest residual, and the least relative gain of a step, that go on.
 TRIALS, TOLERANCE, GAIN = 40, 1e-6, 1e-3
 
@@ -144,7 +143,7 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     return with_vector(docs, run, "soft", kind="struct<n_tokens:long,p:array<double>>", arrow=kind)
 
 
-def rate_of(p: Column, steps: list[list[float]], most: float = MAX_RATE) -> Column:
+def rate_of(p: Column, steps: list[list[float]], most: float = math.inf) -> Column:
     """A document's rate after the steps: each is subtracted along the posterior, and rates beyond a bound go back to it."""
     rate = F.lit(1.0)
     for step in steps:
@@ -155,7 +154,7 @@ def rate_of(p: Column, steps: list[list[float]], most: float = MAX_RATE) -> Colu
     return rate
 
 
-def fit_rates(soft: DataFrame, weights: list[float], most: float = MAX_RATE) -> list[list[float]]:
+def fit_rates(soft: DataFrame, weights: list[float], most: float = math.inf) -> list[list[float]]:
     """The steps that fit the rates of ``soft`` (n_tokens, p) to ``weights``, the domains' shares of all tokens."""
     k = len(weights)
     target = np.array(weights, dtype=np.float64) / sum(weights)
@@ -193,6 +192,12 @@ def fit_rates(soft: DataFrame, weights: list[float], most: float = MAX_RATE) ->
     return steps
 
 
+def reached_shares(soft: DataFrame, steps: list[list[float]], names: list[str]) -> dict[str, float]:
+    """Each domain's expected tokens under the fitted rates as a share of all tokens, to hold against its target."""
+    parts = [(F.sum(rate_of(F.col("p"), steps) * F.col("n_tokens") * F.col("p")[i]) / F.sum("n_tokens")).alias(x) for i, x in enumerate(names)]
+    return soft.agg(*parts).first().asDict()
+
+
 def copies_of(rate: Column, doc_id: Column, seed: int = 42) -> Column:
     """The rate rounded to a whole number of copies, up or down by a seeded hash of the id, so that the expectation is the rate."""
     return F.floor(rate + F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("int")

@@ -36,6 +36,17 @@ def test_rates_match_targets(spark):
         assert not reached or np.allclose(share, weights, atol=2e-3)
 
 
+def test_rates_of_a_rare_domain_match_targets(spark):
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.dirichlet([30, 0.2, 0.1], 480), rng.dirichlet([0.1, 30, 0.1], 5), rng.dirichlet([0.1, 0.1, 30], 15)])
+    frame = spark.createDataFrame([(100, [float(x) for x in q]) for q in p], "n_tokens long, p array<double>")
+    names, weights = ["good", "poor", "toxic"], [0.75, 0.2, 0.05]
+    assert 4 * p[:, 1].mean() < 0.2  # out of reach of four copies each
+    steps = mixing.fit_rates(frame, weights)
+    reached = mixing.reached_shares(frame, steps, names)
+    assert np.allclose([reached[x] for x in names], weights, atol=2e-3), reached
+
+
 def test_rates_of_no_tokens(spark):
     frame = spark.createDataFrame([(0, [0.5, 0.5])], "n_tokens long, p array<double>")
     assert mixing.fit_rates(frame, [0.5, 0.5]) == [] and mixing.fit_rates(frame.limit(0), [0.5, 0.5]) == []
