@@ -11,18 +11,18 @@ distinct.) A group ties each of its members to the first member that links reach
 probability J ** VALUES whatever the size of the table. The number of blocks follows from ``FLOOR``, the least
 probability that texts of just the wanted similarity meet at all. What meets is decided by the exact similarity of the
 sets. A block's members are compared with its member of the smallest hash; blocks that still hold several components are
-compared in full, those of more than ``GROUP`` members in tiles over several tasks.
+compared in full, those of more than ``GROUP`` members in tiles over several tasks. Texts are told apart by a hash of 64 bits.
 
 Cases: null and empty texts have no words, the fingerprint zero and the empty set, linked like any other; texts of fewer words
 than a shingle are one shingle; texts are read whole; repeated rows are kept by ``link_fingerprints`` and are one
-document to ``near_duplicates``; null ids count as larger than any other; empty tables give an empty result; other
+document to ``drop_near_duplicates``; null ids count as larger than any other; empty tables give an empty result; other
 columns are ignored, or carried along by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, drop, stored
 from .graph import components
 
-#: Members up to which a block is compared as a whole.
-GROUP = 256
+#: Members up to which a block is compared as a whole, and shingles in a part of a larger one.
+GROUP, PART_SHINGLES = 256, 1 << 20
 #: Minima in a block's key, and the least probability that texts of the wanted similarity meet in a block.
 VALUES, FLOOR = 6, 0.9999
+#: Rows of at most some 40 bytes up to which a table is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Shingles whose hashes are held at once.
 PIECE = 1 << 14
 
@@ -219,24 +221,28 @@ def block_keys(hashes: np.ndarray, blocks: int, values: int, seed: int) -> np.nd
     return keys
 
 
+def text_hash(text: str = "text") -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def set_prints(docs: DataFrame, width: int, blocks: int, values: int, seed: int) -> DataFrame:
-    """``doc_id, text_hash, n, size, keys``: ``n`` tells shingle sets apart, ``size`` counts them, ``keys`` are the blocks'."""
+    """``doc_id, n, size, keys``: ``n`` tells texts apart, ``size`` counts their distinct shingles, ``keys`` are the blocks'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                n, size, keys = [], [], []
-                for text in some.column("text").to_pylist():
-                    hashes = shingle_set(text, width, seed)
-                    n.append(xxhash.xxh64_intdigest(hashes.tobytes(), seed))
+                size, keys = [], []
+                for text in some.column("text"):
+                    hashes = shingle_set(text.as_py(), width, seed)
                     size.append(len(hashes))
-                    keys.append(block_keys(hashes, blocks, values, seed).tobytes())
-                columns = [pa.array(np.array(n, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.binary())]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), *columns], names=["doc_id", "text_hash", "n", "size", "keys"])
+                    keys.append(block_keys(hashes, blocks, values, seed))
+                ends = pa.array(np.arange(len(size) + 1, dtype=np.int32) * blocks)
+                listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("n"), pa.array(size, pa.int64()), listed], names=["doc_id", "n", "size", "keys"])
 
-    chosen = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, text_hash long, n long, size long, keys binary")
+    chosen = docs.select("doc_id", text_hash().alias("n"), "text")
+    return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, n long, size long, keys array<long>")
 
 
 def similar(common: np.ndarray, size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
@@ -244,55 +250,44 @@ def similar(common: np.ndarray, size: np.ndarray, other: np.ndarray, similarity:
     return common >= similarity * (size + other - common) - 1e-9
 
 
-def linked(n: np.ndarray, root: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that tie members as all pairs of different roots would for which ``near(i, others)`` holds."""
-    found, stem = [], np.unique(root, return_inverse=True)[1]
-    for i in range(len(n) - 1):
-        others = i + 1 + np.flatnonzero(stem[i + 1 :] != stem[i])
+def set_links(root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between roots that tie them as all pairs of members with different roots and similar sets would."""
+    size = np.array([len(s) for s in sets])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    found, stem = [], root.copy()
+    for i in range(len(sets) - 1):
+        others = i + 1 + np.flatnonzero((stem[i + 1 :] != stem[i]) & similar(np.minimum(size[i + 1 :], size[i]), size[i + 1 :], size[i], similarity))
         if not len(others):
             continue
-        for j in others[near(i, others)]:
+        mine = np.zeros(len(names), bool)
+        mine[at[ends[i] : ends[i + 1]]] = True
+        before = np.concatenate([[0], np.cumsum(mine[at])])
+        for j in others[similar((before[ends[1:]] - before[ends[:-1]])[others], size[others], size[i], similarity)]:
             if stem[j] != stem[i]:
-                found.append((int(n[i]), int(n[j])))
+                found.append((int(root[i]), int(root[j])))
                 stem[stem == stem[j]] = stem[i]
     return found
 
 
-def block_links(n: np.ndarray, root: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """``linked`` by fingerprints of ``most`` or fewer differing bits."""
-    return linked(n, root, lambda i, others: np.bitwise_count(prints[others] ^ prints[i]).sum(1) <= most)
-
-
-def set_links(n: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """``linked`` by the exact Jaccard similarity of sorted sets."""
-    size = np.array([len(s) for s in sets])
-    names, at = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.concatenate([[0], np.cumsum(size)])
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        mine = np.zeros(len(names), bool)
-        mine[at[ends[i] : ends[i + 1]]] = True
-        before = np.concatenate([[0], np.cumsum(mine[at])])
-        return similar((before[ends[1:]] - before[ends[:-1]])[others], size[others], size[i], similarity)
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a stored table of short rows, to be broadcast if it has few enough; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
-    return linked(n, root, near)
 
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *, group: int = GROUP, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``n, first, copies`` for each distinct text, and ``node, root`` for all texts ``n`` that are near-duplicates of their root.
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *, group: int = GROUP, seed: int = 42) -> DataFrame:
-    """``doc_id, text_hash, n, root``: a row for each document; documents of one ``root`` are near-duplicates."""
+    ``first`` is the smallest doc_id, within a struct that puts nulls last; ``copies`` counts the documents. Roots have no row
+    of their own in the second table.
+    """
     blocks = blocks_needed(similarity)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                n, size = (pa.array(np.repeat(some.column(c).to_numpy(), blocks)) for c in ("n", "size"))
-                yield pa.RecordBatch.from_arrays([n, size, pa.array(np.frombuffer(b"".join(some.column("keys").to_pylist()), np.int64))], names=["n", "size", "key"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = None, None
         for batch in batches:
             n, pivot, text, other = (batch.column(c) for c in ("n", "pivot", "text", "pivot_text"))
-            close, known, held = [], None, None
+            close = []
             for i in range(batch.num_rows):
                 if pivot[i].as_py() != known:
                     known, held = pivot[i].as_py(), shingle_set(other[i].as_py(), width, seed)
@@ -301,13 +296,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
             yield pa.RecordBatch.from_arrays([n.filter(pa.array(close, pa.bool_())), pivot.filter(pa.array(close, pa.bool_()))], names=["a", "b"])
 
     prints = stored(set_prints(docs, width, blocks, VALUES, seed))
-    nodes = stored(prints.groupBy("n").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    rows = nodes.select("n", "size", "keys").mapInArrow(spread, "n long, size long, key long")
-    first = F.min_by(F.struct("n", "size"), F.xxhash64("n", F.lit(seed)))
-    groups = stored(rows.groupBy("key").agg(F.count("*").alias("members"), first.alias("p")).where("members > 1").select("key", F.col("p.n").alias("pivot"), F.col("p.size").alias("pivot_size")))
-    met = stored(rows.join(groups, "key"))
-    wanted = nodes.select("n", "text_hash").join(met.select("n").distinct(), "n")
-    held = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").join(wanted, "text_hash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    nodes = stored(prints.groupBy("n").agg(first, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    rows = nodes.select("n", "size", F.explode("keys").alias("key"))
+    pivot = F.min_by(F.struct("n", "size"), F.xxhash64("n", F.lit(seed)))
+    groups = rows.groupBy("key").agg(F.count("*").alias("members"), pivot.alias("p")).where("members > 1")
+    groups = stored(groups.select("key", F.col("p.n").alias("pivot"), F.col("p.size").alias("pivot_size")))
+    met = stored(rows.join(bounded(groups), "key"))
+    wanted = stored(met.select("n").distinct())
+    held = docs.select(text_hash().alias("n"), "text").join(bounded(wanted), "n", "left_semi")
     texts = stored(held.groupBy("n").agg(F.first("text").alias("text")))
     # sets of too unlike sizes cannot be similar
     fit = F.least("size", "pivot_size") >= F.lit(similarity) * F.greatest("size", "pivot_size") - 1e-9
@@ -316,47 +313,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, *,
     by_pivot = stored(both.select("n", "pivot", "text", "pivot_text").mapInArrow(verify, "a long, b long"))
     tied = components(by_pivot)
     within = stored(links_in_tiles(met, tied, texts, width, similarity, group, seed))
-    if within.head(1):
-        before, tied = tied, components(within.unionAll(tied.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        drop(before)
-    for used in (nodes, groups, met, texts, by_pivot, within):
+    again = components(within).withColumnsRenamed({"node": "was", "root": "now"})
+    moved = tied.join(again, tied.root == again.was, "left").select("node", F.coalesce("now", "root").alias("root"))
+    ties = stored(moved.unionAll(again.select(F.col("was").alias("node"), F.col("now").alias("root"))))
+    for used in (prints, groups, met, wanted, texts, by_pivot, tied, within, again):
         drop(used)
-    return prints.select("doc_id", "text_hash", "n").join(tied.withColumnRenamed("node", "n"), "n", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "n").alias("root"))
+    out = nodes.select("n", "first", "copies")
+    out._burrow_path = nodes._burrow_path
+    return out, ties
 
 
 def links_in_tiles(met: DataFrame, tied: DataFrame, texts: DataFrame, width: int, similarity: float, group: int, seed: int) -> DataFrame:
-    """``a, b``: links that tie the blocks' members as a comparison of all pairs of different roots in each block would.
+    """``a, b``: links between roots that tie them as a comparison of all pairs of different roots in each block would.
 
-    The members of a block are strays if their root is not the pivot's. Strays and the rest are dealt to parts of about
-    ``group`` members; every part of strays is compared with itself and each other part, in a tile of its own.
+    A block's home is the root of most of its members; members of other roots are strays. Strays and the rest are dealt to
+    parts of about ``group`` members and ``PART_SHINGLES`` shingles at most; every part of strays is compared with itself and
+    each other part, in a tile of its own. Blocks of the same members are compared once.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> pa.RecordBatch:
-            found = set_links(np.array(n), np.array(root), sets, similarity)
+            found = set_links(np.array(root), sets, similarity)
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        tile, n, root, sets = None, [], [], []
+        tile, root, sets = None, [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                at, member, stem, text = (batch.column(c)[i].as_py() for c in ("tile", "n", "root", "text"))
-                if at != tile and n:
+                at, stem, text = (batch.column(c)[i].as_py() for c in ("tile", "root", "text"))
+                if at != tile and root:
                     yield links()
-                    n, root, sets = [], [], []
+                    root, sets = [], []
                 tile = at
-                n.append(member)
                 root.append(stem)
                 sets.append(shingle_set(text, width, seed))
-        if n:
+        if root:
             yield links()
 
-    more = met.select("key", "n", "pivot").join(tied.withColumnRenamed("node", "n"), "n", "left")
-    more = stored(more.select("key", "n", "pivot", F.coalesce("root", "n").alias("root")))
-    home = F.max(F.when(F.col("n") == F.col("pivot"), F.col("root"))).alias("home")
-    several = more.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), home).where("low <> high").select("key", "home")
-    open_rows = stored(more.join(several, "key").select("key", "n", "root", (F.col("root") != F.col("home")).alias("stray")))
-    parts = lambda stray: F.ceil(F.count_if(F.col("stray") if stray else ~F.col("stray")) / group).cast("long")
-    dealt = open_rows.join(open_rows.groupBy("key").agg(parts(True).alias("s"), parts(False).alias("d")), "key")
+    more = stored(met.select("key", "n", "size").join(tied.withColumnRenamed("node", "n"), "n", "left").select("key", "n", "size", F.coalesce("root", "n").alias("root")))
+    by_root = more.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("n")).alias("x"), F.bit_xor(F.xxhash64("n", F.lit(1))).alias("y"))
+    home = [F.max_by(c, F.struct("c", "root")).alias(f"home_{c}") for c in ("root", "c", "size")]
+    several = by_root.groupBy("key").agg(*home, F.sum("c").alias("c"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("c > home_c")
+    parts = lambda c, size: F.greatest(F.ceil(c / group), F.ceil(size / PART_SHINGLES)).cast("long")
+    several = several.dropDuplicates(["x", "y", "c"]).select("key", "home_root", parts(F.col("c") - F.col("home_c"), F.col("size") - F.col("home_size")).alias("s"), parts(F.col("home_c"), F.col("home_size")).alias("d"))
+    dealt = more.join(bounded(stored(several)), "key").withColumn("stray", F.col("root") != F.col("home_root"))
     # a part of strays meets each other part of strays under the smaller number of both, and the rest's parts under negative ones
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     mine = F.pmod(F.xxhash64("n", F.lit(seed + 1)), F.when(F.col("stray"), F.col("s")).otherwise(F.col("d")))
@@ -364,29 +363,22 @@ def links_in_tiles(met: DataFrame, tied: DataFrame, texts: DataFrame, width: int
     with_rest = F.transform(upto("d"), lambda j: F.xxhash64("key", "mine", -1 - j))
     with_strays = F.transform(F.filter(upto("s"), lambda x: x != F.col("mine")), lambda x: F.xxhash64("key", F.least("mine", x), F.greatest("mine", x)))
     of_rest = F.transform(upto("s"), lambda i: F.xxhash64("key", i, -1 - F.col("mine")))
-    tiles = stored(dealt.select("n", "root", F.explode(F.when(F.col("stray"), F.concat(with_rest, with_strays)).otherwise(of_rest)).alias("tile")))
-    # tiles of the same members in several blocks are compared once
-    held = tiles.groupBy("tile").agg(F.bit_xor(F.xxhash64("n")).alias("x"), F.bit_xor(F.xxhash64("n", F.lit(1))).alias("y"), F.count("*").alias("m"))
-    once = held.groupBy("x", "y", "m").agg(F.min("tile").alias("tile")).select("tile")
-    found = stored(tiles.join(once, "tile").join(texts, "n").select("tile", "n", "root", "text").repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long").distinct())
-    for used in (more, open_rows, tiles):
-        drop(used)
-    return found
+    tiles = dealt.select("n", "root", F.explode(F.when(F.col("stray"), F.concat(with_rest, with_strays)).otherwise(of_rest)).alias("tile"))
+    return tiles.join(texts, "n").select("tile", "root", "text").repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the smallest doc_id; the same columns."""
-    members = stored(near_duplicates(docs, width, similarity))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    first = members.groupBy("root").agg(F.min(order).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    rows = members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    rows = stored(rows.join(kept.withColumn("stays", F.lit(True)), rows.doc_id.eqNullSafe(kept.doc_id) & (rows.text_hash == kept.text_hash), "left").select(rows.doc_id, rows.text_hash, "copies", F.coalesce("stays", F.lit(False)).alias("stays")))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("d_hash"))
-    gone = rows.where("not stays or copies > 1").select("doc_id", "text_hash")
-    out = named.join(gone, named.d_id.eqNullSafe(gone.doc_id) & (named.d_hash == gone.text_hash), "left_anti").select("row")
-    again = rows.where("stays and copies > 1").select("doc_id", "text_hash")
-    if again.head(1):  # repeated rows of one id and text: one of them stays
-        once = named.join(again, named.d_id.eqNullSafe(again.doc_id) & (named.d_hash == again.text_hash), "left_semi").dropDuplicates(["d_id", "d_hash"])
-        out = out.unionAll(once.select("row"))
-    return out.select("row.*")
+    nodes, ties = near_duplicates(docs, width, similarity)
+    grouped = nodes.join(ties.withColumnRenamed("node", "n"), "n", "left").select("n", "first", "copies", F.coalesce("root", "n").alias("root"))
+    least = grouped.groupBy("root").agg(F.min(F.struct("first", "n")).alias("least"), F.count("*").alias("texts"))
+    # texts that stand alone in one document need no decision
+    several = grouped.join(least, "root").where("texts > 1 or copies > 1")
+    rules = bounded(stored(several.select(F.col("n").alias("rule"), (F.col("n") == F.col("least.n")).alias("stays"), F.col("first.doc_id").alias("first_id"))))
+    drop(nodes)
+    drop(ties)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("d_id"), text_hash().alias("d_hash"))
+    alone = named.join(rules, named.d_hash == rules.rule, "left_anti").select("row")
+    firsts = named.join(rules.where("stays"), (named.d_hash == F.col("rule")) & named.d_id.eqNullSafe(F.col("first_id")))
+    once = firsts.groupBy("d_hash").agg(F.first("row").alias("row")).select("row")  # a row may be repeated
+    return alone.unionAll(once).select("row.*")

@@ -137,17 +137,16 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
     assert simhash.drop_near_duplicates(awkward.limit(0)).count() == 0
 
 
-def test_block_links():
+def test_set_links():
     rng = np.random.default_rng(1)
     for _ in range(50):
         m = int(rng.integers(2, 40))
-        prints = rng.integers(0, 2**60, (m, 1), dtype=np.uint64)
-        prints[m // 2 :] = prints[: m - m // 2] ^ np.uint64(3)
+        base = [rng.choice(500, 40, replace=False) for _ in range(4)]
+        sets = [np.unique(np.concatenate([base[i % 4][int(rng.integers(0, 9)) :], rng.integers(500, 600, 4)])).astype(np.uint64) for i in range(m)]
         tied = rng.integers(0, 5, m)
         pairs = [(i, j) for i in range(m) for j in range(i)]
-        same = [(i, j) for i, j in pairs if tied[i] == tied[j]]
-        close = [(i, j) for i, j in pairs if int(prints[i, 0] ^ prints[j, 0]).bit_count() <= 2]
-        assert roots(range(m), same + simhash.block_links(np.arange(m), tied, prints, 2)) == roots(range(m), same + close)
+        close = [(tied[i], tied[j]) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+        assert roots(range(5), simhash.set_links(tied, sets, 0.8)) == roots(range(5), close)
 
 
 def test_near_duplicates_in_crowded_blocks(spark):
@@ -156,9 +155,7 @@ def test_near_duplicates_in_crowded_blocks(spark):
     for _ in range(3):
         words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
         rows += [(len(rows) + i, edited(rng, words, 0.01)) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = simhash.near_duplicates(docs, group=2).collect()
-    assert len({r.root for r in found}) == 3
+    assert len(set(found_roots(spark, [t for _, t in rows], group=2).values())) == 3
 
 
 def jaccard(a, b, width=5):
@@ -168,7 +165,9 @@ def jaccard(a, b, width=5):
 
 def found_roots(spark, texts, **options):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.root for r in simhash.near_duplicates(docs, **options).collect()}
+    nodes, ties = simhash.near_duplicates(docs, **options)
+    root = {r.node: r.root for r in ties.collect()}
+    return {r.doc_id: root.get(r.n, r.n) for r in docs.select("doc_id", simhash.text_hash().alias("n")).collect()}
 
 
 def partition(root):
