@@ -2,8 +2,8 @@
 
 Every k-gram of a text that a template holds too gives a vote for the diagonal ``position - template position``.
 Votes are aggregated by diagonal, diagonals that lie at most ``reach`` words apart are merged, and a merged span is
-verified by the share of the template's words that its matches cover; the join itself compares the words as well
-as their hashes. Templates are a parameter of bounded size and are broadcast only while their k-grams stay few.
+verified by the share of the template's words that its matches cover. Words are compared by the 64-bit hashes of
+their k-grams alone, so that the join's rows stay narrow whatever a text's length. Templates are a parameter of bounded size and are broadcast only while their k-grams stay few.
 
 Cases: null and empty texts have no words, no places and score 0; texts shorter than k words can hold base phrases
 only; repeated rows are kept with equal results; texts are scanned whole; an empty table gives an empty result;
@@ -81,10 +81,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int
     given = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     given = given.select("template", "label", words_of(F.col("text")).alias("t_words"))
     sides = given.select("template", "label", "t_words", F.posexplode(grams(F.col("t_words"), k)).alias("t_pos", "gram"))
-    sides = sides.select("template", "label", "t_pos", "gram", F.size("t_words").alias("t_size"), F.expr(f"slice(t_words, t_pos + 1, {k})").alias("t_gram"))
+    sides = sides.select("template", "label", "t_pos", "gram", F.size("t_words").alias("t_size"))
     few = sum(len(text.split()) for _, text in templates) <= BROADCAST_ROWS
-    rolled = tokens.select("doc_id", "key", "words", F.posexplode(grams(F.col("words"), k)).alias("pos", "gram"))
-    votes = rolled.join(F.broadcast(sides) if few else sides, "gram").where(F.expr(f"slice(words, pos + 1, {k}) = t_gram"))
+    rolled = tokens.select("doc_id", "key", F.posexplode(grams(F.col("words"), k)).alias("pos", "gram"))
+    votes = rolled.join(F.broadcast(sides) if few else sides, "gram")
     votes = votes.select("doc_id", "key", "template", "label", "t_size", (F.col("pos") - F.col("t_pos")).alias("diagonal"), "pos", "t_pos")
     lines = votes.groupBy("doc_id", "key", "template", "label", "t_size", "diagonal").agg(
         F.collect_set("t_pos").alias("held"), F.min("pos").alias("first"), F.max("pos").alias("last")
