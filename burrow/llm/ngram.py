@@ -2,14 +2,15 @@
 
 The model is a word bigram model with Dirichlet smoothing: P(w | h) = (c(h, w) + m P(w)) / (c(h) + m), and
 P(w) = (c(w) + 1) / (N + V + 1); an unseen word's share is that of one more word. A text's context begins and ends
-with the end token. The trie holds c(h, w) / (c(h) + m) of each pair that occurs, quantised to 2^16 steps of its
-logarithm; the rest follows from the counts of single words.
+with the end token. The trie holds the smoothed P(w | h) of each pair that occurs, quantised to 2^16 steps of its
+logarithm; that of a pair that doesn't follows from the counts of its words.
 
 Neither vocabulary nor trie need fit one machine. Texts are packed into chunks of bounded size; a chunk asks the
 shards of the vocabulary for the counts of its distinct words, and the shards of the trie for its distinct pairs,
 each in one compressed message per shard. Pairs are dealt by the hash of both words, so that no frequent context
 makes a shard heavy. A trie shard is built from the training counts in its messages, written, memory-mapped,
-queried, and removed. The number of shards follows the input's size.
+queried, and removed. The number of shards follows the input's size. A document's own figures pass through a shard
+that its chunk's number deals them to. A vocabulary of 2^32 ids or more raises an error.
 
 Cases: null and empty texts hold the end token alone; texts are scored whole; repeated rows are scored and, in
 training, counted each; a null id is a training row; an empty table gives an empty result; without training rows
@@ -135,6 +136,8 @@ def count_words(rows: DataFrame, shards: int) -> DataFrame:
             places, counts = unpack(body)
             words = zstandard.decompress(words).split(b"\n")
             parts.append((chunk, places, counts, np.fromiter(map(get, words), np.int64, len(words))))
+        if len(numbers) * shards >= 1 << 32:
+            raise OverflowError("the vocabulary needs more than 2^32 ids")
         total = np.zeros(len(numbers), np.int64)
         for _, _, counts, own in parts:
             np.add.at(total, own, counts.astype(np.int64))
@@ -146,7 +149,7 @@ def count_words(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def ask_pairs(chunks: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
-    """For each chunk and shard of the trie: pairs, their training counts, the single words' counts, and where they occur; with shard 0 the documents' own figures."""
+    """For each chunk and shard of the trie: pairs, their training counts, the single words' counts, and where they occur; with one shard, dealt by chunk, the documents' own figures."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("ask", pa.binary()), ("ids", left.schema.field("ids").type), ("own", pa.binary())])
@@ -188,17 +191,17 @@ def ask_pairs(chunks: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
         n_spots = np.bincount(spot_pair, minlength=len(firsts))
         by_owner, spots_by_owner = np.argsort(owner, kind="stable"), np.argsort(spot_owner, kind="stable")
         cuts, spot_cuts = np.searchsorted(owner[by_owner], np.arange(shards + 1)), np.searchsorted(spot_owner[spots_by_owner], np.arange(shards + 1))
-        out = []
+        out, home = [], zlib.crc32(chunk.to_bytes(8, "little")) % shards
         for s in range(shards):
             mine, spot = by_owner[cuts[s] : cuts[s + 1]], spots_by_owner[spot_cuts[s] : spot_cuts[s + 1]]
-            own = pack(held, lengths, known, base) if s == 0 else None
+            own = pack(held, lengths, known, base) if s == home else None
             if not len(mine) and own is None:
                 continue
             context = (pair_key[mine] >> np.uint64(32)).astype(np.int64)
             starts = np.flatnonzero(np.diff(context, prepend=-1))
             successors = np.diff(np.append(starts, len(mine)))
             ask = pack(context[starts], pair_before[mine][starts], successors, pair_key[mine] & np.uint64(0xFFFFFFFF), pair_train[mine], pair_word[mine], n_spots[mine], spot_doc[spot], times[spot])
-            out.append({"chunk": chunk, "shard": s, "ask": ask, "ids": left.column("ids")[0].as_py() if s == 0 else None, "own": own})
+            out.append({"chunk": chunk, "shard": s, "ask": ask, "ids": left.column("ids")[0].as_py() if s == home else None, "own": own})
         return pa.Table.from_pylist(out, schema=schema)
 
     kind = dict(chunks.dtypes)["ids"]
@@ -212,30 +215,31 @@ def answer_pairs(asked: DataFrame, total: int, known: int, prior: float) -> Data
 
     def run(table: pa.Table) -> pa.Table:
         messages = table.column("ask").to_pylist()
-        keys, counts, befores = [], [], []
+        keys, counts, befores, singles = [], [], [], []
         for m in messages:
-            contexts, before, successors, words, train, *_ = unpack(m)
+            contexts, before, successors, words, train, single, *_ = unpack(m)
             seen = train > 0
             keys.append(((np.repeat(contexts.astype(np.uint64), successors) << np.uint64(32)) | words.astype(np.uint64))[seen])
             counts.append(train[seen].astype(np.int64))
             befores.append(np.repeat(before.astype(np.int64), successors)[seen])
-        key, count, before = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, counts, befores))
-        del keys, counts, befores
+            singles.append(single[seen].astype(np.int64))
+        key, count, before, single = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, counts, befores, singles))
+        del keys, counts, befores, singles
         order = np.argsort(key, kind="stable")
         key = key[order]
         firsts = np.flatnonzero(np.diff(key, prepend=key[0] + np.uint64(1))) if len(key) else np.zeros(0, np.int64)
         pairs = np.add.reduceat(count[order], firsts) if len(firsts) else np.zeros(0, np.int64)
-        log_p = np.log10(pairs / (before[order][firsts] + prior))
+        log_p = np.log10((pairs + prior * 10.0 ** (np.log10(single[order][firsts] + 1.0) - spread)) / (before[order][firsts] + prior))
         out = []
         with tempfile.TemporaryDirectory() as folder:
             Trie.build(key[firsts] >> np.uint64(32), key[firsts] & np.uint64(0xFFFFFFFF), log_p).save(folder)
-            del key, count, before, order
+            del key, count, before, single, order, pairs, log_p
             trie = Trie.load(folder)
             for chunk, shard, m, ids, own in zip(*(table.column(c).to_pylist() for c in ("chunk", "shard")), messages, *(table.column(c).to_pylist() for c in ("ids", "own")), strict=True):
                 contexts, before, successors, words, _, word_count, n_spots, docs, times = unpack(m)
-                stored_p = 10.0 ** trie.lookup(contexts.astype(np.int64), successors.astype(np.int64), words)
-                weight = np.repeat(prior / (before + prior), successors)
-                value = np.log10(stored_p + weight * 10.0 ** (np.log10(word_count + 1.0) - spread))
+                value = trie.lookup(contexts.astype(np.int64), successors.astype(np.int64), words)
+                unseen = np.repeat(np.log10(prior / (before + prior)), successors) + np.log10(word_count + 1.0) - spread
+                value = np.where(np.isfinite(value), value, unseen)
                 sums = np.bincount(docs, np.repeat(value, n_spots) * times) if len(docs) else np.zeros(0)
                 out.append({"chunk": chunk, "shard": shard, "sums": pack(sums), "ids": ids, "own": own})
             del trie
@@ -261,12 +265,13 @@ def score_texts(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
         id_type = table.schema.field("ids").type.value_type
         schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         parts = sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "sums", "ids", "own")), strict=True), key=lambda r: r[0])
-        held, lengths, seen, base = unpack(parts[0][3])
+        ids, own = next((i, o) for _, _, i, o in parts if o is not None)
+        held, lengths, seen, base = unpack(own)
         score = np.zeros(len(lengths))
         for _, sums, _, _ in parts:
             (s,) = unpack(sums)
             score[: len(s)] += s
-        arrays = [pa.array(parts[0][2], id_type), pa.array(held.astype(bool)), pa.array(lengths.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(base - lengths * spread), pa.array(score)]
+        arrays = [pa.array(ids, id_type), pa.array(held.astype(bool)), pa.array(lengths.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(base - lengths * spread), pa.array(score)]
         return pa.Table.from_arrays(arrays, schema=schema)
 
     out = answered.groupBy("chunk").applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
