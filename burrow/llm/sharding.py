@@ -27,10 +27,9 @@ ORDER_BUCKETS = 4096
 def interleaved_shards(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
     """``doc_id, source, size, text_crc32, shard, slot`` for each row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    known = F.when(F.col("source").isNull(), F.lit("\0null")).otherwise(F.col("source"))
     base = docs.select(
         "doc_id",
-        known.alias("stratum"),
+        F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("stratum"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
@@ -57,7 +56,7 @@ def interleaved_shards(docs: DataFrame, shards: int = 8, seed: int = 42) -> Data
     first = F.expr(f"(shard * {rows}L + {shards - 1}) div {shards}")
     return placed.select(
         "doc_id",
-        F.when(F.col("stratum") != "\0null", F.col("stratum")).alias("source"),
+        F.when(~F.col("stratum.none"), F.col("stratum.name")).alias("source"),
         "size",
         "text_crc32",
         "shard",
