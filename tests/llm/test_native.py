@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -42,11 +44,48 @@ def test_secrets(spark, tables):
 
 def test_markov_tells_random_strings_from_identifiers(spark):
     llr = secrets.train(secrets.labelled_samples(spark, 4000))
-    held = secrets.labelled_samples(spark, 6000).select("random", (secrets.ratio(F.col("value"), llr) > 0.6).alias("hit"))
+    held = secrets.labelled_samples(spark, 2000, start=4000).select("random", (secrets.ratio(F.col("value"), llr) > 0.6).alias("hit"))
     rates = {r.random: r.rate for r in held.groupBy("random").agg(F.avg(F.col("hit").cast("int")).alias("rate")).collect()}
     assert rates[True] > 0.9 and rates[False] < 0.02
 
 
+def plain_markov(text: str, llr: list[float], threshold: float = 0.6) -> list:
+    """Runs of key characters that overlap no base span and whose mean log-likelihood ratio passes the threshold."""
+    base, out = base_spans(text), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        codes = [secrets.ALPHABET.index(c) for c in m.group()]
+        mean = sum(llr[a * len(secrets.ALPHABET) + b] for a, b in zip(codes, codes[1:], strict=False)) / (len(codes) - 1)
+        if mean >= threshold and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+            out.append((m.start(), 3, m.end(), "markov"))
+    return out
+
+
+def test_secret_spans_against_plain_python(spark, tables):
+    llr = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(3)
+    piece = lambda: "".join(rng.choice("abcdefXYZ0189+/_=-") for _ in range(rng.randint(5, 50)))
+    glue = (" ", ".", " token=", '"secret": "', "\n", " AKIA", " é ", "password:")
+    made = [(i, "".join(x for _ in range(rng.randint(0, 400)) for x in (piece(), rng.choice(glue)))) for i in range(40)]
+    texts = made + [(1000 + i, t) for i, (_, t) in enumerate(documents(spark, tables))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(frame, llr).select("doc_id", secrets.digest(F.col("spans")).alias("spans")).collect()}
+    for i, t in texts:
+        want = sorted([*base_spans(t), *plain_markov(t, llr)])
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want), i
+    assert sum("markov" in x for x in got.values()) > 20
+
+
+def test_secrets_of_a_very_long_text(spark):
+    run = "Zx9Kq3LmT7vBn2RwYp8H"
+    text = " ".join(f"{run}{i:05}" if i % 5 else f"token={i:030x}{i:08}" for i in range(40_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    llr = secrets.train(secrets.labelled_samples(spark, 2000))
+    begin = time.perf_counter()
+    got = secrets.scan_secrets(frame, llr).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert got.last.end == len(text) and got.n >= 40_000 - 8000
+    assert time.perf_counter() - begin < 120
+
+
 def test_markov_ratio_is_the_models_ratio(spark):
     rows = spark.createDataFrame([("aab", True), ("ba", False), (None, True), ("x", True)], "value string, random boolean")
     llr = secrets.train(rows)
@@ -73,6 +112,12 @@ def test_sharding(spark, tables):
         assert all(abs(share[s] - n / 8) < 2 for s in range(8)), (source, share)
 
 
+def test_sharding_tells_a_null_source_from_any_name(spark):
+    rows = [(i, "x", s) for i, s in enumerate([None, "\0null", "", None, "\0null", ""] * 4)]
+    got = sharding.interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 4)
+    assert sorted((r.doc_id, r.source) for r in got.collect()) == sorted((i, s) for i, _, s in rows)
+
+
 def test_sharding_of_few_and_no_rows(spark, awkward):
     few = sharding.interleaved_shards(awkward.limit(3), 8)
     assert few.count() == 3
@@ -91,6 +136,62 @@ def test_licenses(spark, tables):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
+def plain_found(words: list, k: int = 5, reach: int = 2, cover: float = 0.6) -> list:
+    out = []
+    for label, notice in licenses.TEMPLATES:
+        own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", notice.translate(LOW))
+        lines = defaultdict(list)
+        for t in range(len(own) - k + 1):
+            for i in range(len(words) - k + 1):
+                if words[i : i + k] == own[t : t + k]:
+                    lines[i - t].append((i, t))
+        islands = []
+        for d in sorted(lines):
+            if islands and d - islands[-1][0] <= reach:
+                islands[-1] = (d, islands[-1][1] + lines[d])
+            else:
+                islands.append((d, lines[d]))
+        for _, hits in islands:
+            score = len({t + j for _, t in hits for j in range(k)}) / len(own)
+            if score >= cover:
+                out.append((label, score, min(i for i, _ in hits), max(i for i, _ in hits) + k - 1))
+    return sorted(out)
+
+
+def test_license_spans_against_plain_python(spark):
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += ["filler"] * rng.randint(0, 3)
+            notice = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", rng.choice(licenses.TEMPLATES)[1].translate(LOW))
+            for _ in range(rng.randint(0, 4)):
+                notice.insert(rng.randrange(len(notice)), "odd")
+            words += notice[rng.randint(0, 3) :]
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: sorted((s.label, s.score, s.first, s.last) for s in r.found) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: plain_found(t.split()) for i, t in rows} and sum(map(len, got.values())) > 20
+
+
+def test_licenses_of_a_very_long_text(spark):
+    text = " ".join(f"w{i % 1000}" for i in range(400_000)) + " released under the MIT license"
+    frame = spark.createDataFrame([(1, text, 5, "x")], "doc_id long, text string, pos int, words string")
+    begin = time.perf_counter()
+    got = licenses.scan_licenses(frame).select("n_words", F.size("base").alias("n"), "found").first()
+    assert (got.n_words, got.n) == (400_005, 1) and [f.label for f in got.found] == ["mit"]
+    assert time.perf_counter() - begin < 120
+
+
+def test_native_operators_on_no_rows_and_clashing_columns(spark, awkward):
+    named = awkward.withColumnsRenamed({"key": "spans", "words": "runs"})
+    llr = [0.0] * len(secrets.ALPHABET) ** 2
+    assert secrets.scan_secrets(named, llr).count() == named.count()
+    assert licenses.scan_licenses(awkward).count() == awkward.count()
+    assert secrets.scan_secrets(named.limit(0), llr).count() == licenses.scan_licenses(awkward.limit(0)).count() == 0
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, formatted string, segments int")
+    assert chat.format_conversations(empty).count() == 0
+
+
 def test_license_diagonals_merge_over_an_edit(spark):
     notice = licenses.TEMPLATES[1][1].split()
     edited = " ".join([*"some words before".split(), *notice[:9], "really", *notice[9:], *"and after".split()])
