@@ -6,45 +6,74 @@ hashed bit positions. Metadata only rejects: a pruned scan returns what an unpru
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BLOOM_BITS, BLOOM_HASHES = 4096, 4
+#: The wanted rate of false positives, and the most bytes and hashes, of a basket's Bloom set.
+BLOOM_RATE, BLOOM_BYTES, BLOOM_HASHES = 0.01, 64 << 10, 16
 
 
-def finite(value: Column) -> Column:
+def kind_of(kind: T.DataType) -> str:
+    """How values of a type are compared and hashed: ``text``, ``long`` or ``double``."""
+    if isinstance(kind, T.StringType):
+        return "text"
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "long"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "double"
+    raise TypeError(f"no statistics for values of type {kind.simpleString()}")
+
+
+def plain(value: Column, kind: str) -> Column:
+    return value if kind == "text" else value.cast(kind)
+
+
+def finite(value: Column, kind: str = "double") -> Column:
     wide = value.cast("double")
-    return value.isNotNull() & ~F.isnan(wide) & (F.abs(wide) < F.lit(float("inf")))
+    return value.isNotNull() & ~F.isnan(wide) & (F.abs(wide) < F.lit(float("inf"))) if kind == "double" else value.isNotNull()
 
 
-def positions(value: Column) -> Column:
+def positions(value: Column, kind: str, bits: Column, hashes: Column) -> Column:
     """Bit positions of a value; both zeros are one."""
-    wide = value.cast("double") + F.lit(0.0)
-    first, second = (F.xxhash64(wide, F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFF)) for seed in (1, 2))
-    return F.array(*[F.pmod(first + second * i, F.lit(BLOOM_BITS)).cast("int") for i in range(BLOOM_HASHES)])
+    whole = plain(value, kind)
+    whole = whole + F.lit(0.0) if kind == "double" else whole
+    first, second = (F.xxhash64(whole, F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFF)) for seed in (1, 2))
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(first + second * i, bits).cast("int"))
+
+
+def bloom_size(n: Column) -> tuple[Column, Column]:
+    """Bits and hashes of a Bloom set of ``n`` values at the wanted rate, within the bounds."""
+    bits = F.least(F.lit(8 * BLOOM_BYTES), F.greatest(F.lit(64), F.ceil(n * F.lit(-math.log(BLOOM_RATE) / math.log(2) ** 2)))).cast("int")
+    hashes = F.least(F.lit(BLOOM_HASHES), F.greatest(F.lit(1), F.round(bits / F.greatest(n, F.lit(1)) * math.log(2)))).cast("int")
+    return bits, hashes
 
 
 def build_baskets(flat: DataFrame, value: str, basket_entries: int, *, source: str = "source_id", entry: str = "entry_id", bloom: bool = False) -> DataFrame:
     """One row per source and basket of a flattened path; partial sums are combined before the shuffle."""
-    v = F.col(value)
-    wide = v.cast("double")
+    kind = kind_of(flat.schema[value].dataType)
+    v, wide = plain(F.col(value), kind), F.col(value).cast("double") if kind == "double" else F.lit(0.0)
     stats = [
         F.count("*").alias("value_count"),
         F.count_if(v.isNull()).alias("null_count"),
         F.count_if(F.isnan(wide)).alias("nan_count"),
         F.count_if(wide == F.lit(float("inf"))).alias("pos_inf_count"),
         F.count_if(wide == F.lit(float("-inf"))).alias("neg_inf_count"),
-        F.min(F.when(finite(v), v)).alias("min_value"),
-        F.max(F.when(finite(v), v)).alias("max_value"),
+        F.min(F.when(finite(v, kind), v)).alias("min_value"),
+        F.max(F.when(finite(v, kind), v)).alias("max_value"),
     ]
-    basket = F.floor(F.col(entry) / basket_entries).cast("long")
+    basket = F.expr(f"`{entry}` div {basket_entries}")
     out = flat.groupBy(source, basket.alias("basket_id")).agg(*stats)
     if bloom:
-        bits = flat.where(finite(v)).select(source, basket.alias("basket_id"), F.explode(positions(v)).alias("bit")).groupBy(source, "basket_id").agg(F.array_sort(F.collect_set("bit")).alias("bloom"))
-        out = out.join(bits, [source, "basket_id"], "left")
+        bits, hashes = bloom_size(F.col("value_count") - F.col("null_count") - F.col("nan_count") - F.col("pos_inf_count") - F.col("neg_inf_count"))
+        out = out.withColumn("bloom_bits", bits).withColumn("bloom_hashes", hashes)
+        sized = flat.where(finite(F.col(value), kind)).select(source, basket.alias("basket_id"), v.alias("_v")).join(out.select(source, "basket_id", "bloom_bits", "bloom_hashes"), [source, "basket_id"])
+        spots = sized.select(source, "basket_id", F.explode(positions(F.col("_v"), kind, F.col("bloom_bits"), F.col("bloom_hashes"))).alias("bit"))
+        out = out.join(spots.groupBy(source, "basket_id").agg(F.array_sort(F.collect_set("bit")).alias("bloom")), [source, "basket_id"], "left")
     return out.withColumn("entry_begin", F.col("basket_id") * basket_entries).withColumn("entry_end", (F.col("basket_id") + 1) * basket_entries)
 
 
@@ -84,7 +113,7 @@ class Predicate:
         if self.op in kind:
             return kind[self.op](F.lit(self.values[0]))
         if self.op == "between":
-            low, high = sorted(self.values)
+            low, high = self.bounds
             return v.between(low, high)
         if self.op == "in":
             return v.isin(*self.values)
@@ -94,6 +123,20 @@ class Predicate:
             return v.isNotNull()
         raise ValueError(f"unknown operator {self.op}")
 
+    @property
+    def bounds(self) -> tuple:
+        """The constants in order, NaN last."""
+        return tuple(sorted(self.values, key=lambda x: (x != x, x)))
+
+    @property
+    def constants(self) -> tuple:
+        return self.values
+
+    def keeps(self, baskets: DataFrame) -> Column:
+        """Whether one of ``baskets`` may hold a match, by its extremes and, where there is one, its Bloom set."""
+        kind = kind_of(baskets.schema["min_value"].dataType)
+        return self.may_match() & self.bloom_match(kind) if "bloom" in baskets.columns else self.may_match()
+
     def may_match(self) -> Column:
         """Whether a basket may hold a match; NaN is larger than any value."""
         low, high = F.col("min_value"), F.col("max_value")
@@ -113,13 +156,13 @@ class Predicate:
         if self.op in ("<", "<="):
             return F.coalesce(low < self.values[0] if self.op == "<" else low <= self.values[0], F.lit(False)) | below | odd(self.values[0])
         if self.op == "between":
-            a, b = sorted(self.values)
+            a, b = self.bounds
             return F.coalesce((high >= a) & (low <= b), F.lit(False)) | above | below
         if self.op == "isnull":
             return F.col("null_count") > 0
         return yes
 
-    def bloom_match(self) -> Column:
+    def bloom_match(self, kind: str = "double") -> Column:
         """Whether a basket's Bloom set may hold one of the constants; no set means it may."""
         if self.op not in ("=", "in"):
             return F.lit(True)
@@ -127,19 +170,42 @@ class Predicate:
         for x in self.values:
             if isinstance(x, float) and (x != x or abs(x) == float("inf")):
                 return F.lit(True)  # never in a set
-            out = out | F.forall(positions(F.lit(x)), lambda p: F.array_contains("bloom", p))
+            out = out | F.forall(positions(F.lit(x), kind, F.col("bloom_bits"), F.col("bloom_hashes")), lambda p: F.array_contains("bloom", p))
         return out
 
 
-def selected_baskets(baskets: DataFrame, predicate: Predicate) -> DataFrame:
-    kept = baskets.where(predicate.may_match())
-    return kept.where(predicate.bloom_match()) if "bloom" in baskets.columns else kept
+@dataclass(frozen=True)
+class Tree:
+    """Predicates on one value joined by ``and`` or ``or``."""
+
+    join: str
+    parts: tuple
+
+    @property
+    def constants(self) -> tuple:
+        return tuple(x for p in self.parts for x in p.constants)
+
+    def joined(self, columns: list[Column]) -> Column:
+        out = columns[0]
+        for c in columns[1:]:
+            out = out & c if self.join == "and" else out | c
+        return out
+
+    def exact(self, v: Column) -> Column:
+        return self.joined([p.exact(v) for p in self.parts])
+
+    def keeps(self, baskets: DataFrame) -> Column:
+        return self.joined([p.keeps(baskets) for p in self.parts])
+
+
+def selected_baskets(baskets: DataFrame, predicate: Predicate | Tree) -> DataFrame:
+    return baskets.where(predicate.keeps(baskets))
 
 
 def read_dataset(flat: DataFrame, value: str, baskets: DataFrame, predicate: Predicate, basket_entries: int, *, source: str = "source_id", entry: str = "entry_id", row_limit: int | None = None) -> DataFrame:
     """Rows that match, read from the baskets that may hold some."""
     chosen = selected_baskets(baskets, predicate).select(source, "basket_id")
-    keyed = flat.withColumn("basket_id", F.floor(F.col(entry) / basket_entries).cast("long"))
+    keyed = flat.withColumn("basket_id", F.expr(f"`{entry}` div {basket_entries}"))
     out = keyed.join(chosen, [source, "basket_id"], "left_semi").drop("basket_id").where(predicate.exact(F.col(value)))
     return out if row_limit is None else out.limit(row_limit)
 

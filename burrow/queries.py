@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import histogram, index, intervals, paths
+from .operators import histogram, index, intervals, paths, requests
+from .operators.dataset import Dataset
 from .operators.index import Predicate
 from .plans import chunks, objects
 from .sources import catalog
@@ -32,18 +33,43 @@ def query(sql: str | None):
     return add
 
 
+EVENT_PATHS = ["/Event/value", "/Event/event_type", "/Event/user_id"]
+ORDER_PATHS = ["/Order/lines/quantity", "/Order/lines/discount", "/Order/lines/extendedprice"]
+EVENT_PART, ORDER_PART, ORDER_BASKET = 5_000, 100_000, 1_000
+_STORED: dict[tuple[str, str, str], Dataset] = {}
+
+
+def stored_dataset(spark: SparkSession, sf_dir: str, name: str) -> Dataset:
+    """The events or the orders as a dataset of four sources, written and indexed at the first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        objects_of = {"events": objects.events, "orders": objects.orders}[name]
+        made = Dataset(spark, catalog.scratch(spark))
+        rows = objects_of(spark, sf_dir).withColumn("source_id", F.pmod("entry_id", F.lit(4)).cast("long"))
+        made.write(rows, EVENT_PART if name == "events" else ORDER_PART)
+        if name == "events":
+            made.build(EVENT_PATHS, EVENT_PART, BASKET)
+        else:
+            made.build(ORDER_PATHS, ORDER_PART, ORDER_BASKET)
+        _STORED[key] = made
+    return _STORED[key]
+
+
 def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``/Event/value`` with four sources."""
-    return paths.read_path(objects.events(spark, sf_dir), "/Event/value").withColumn("source_id", F.pmod("entry_id", F.lit(4)).cast("long"))
+    """``/Event/value`` of the stored events, with its source."""
+    return paths.read_path(stored_dataset(spark, sf_dir, "events").entries(), "/Event/value", carry=("source_id",))
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_dataset(spark, sf_dir, "orders").entries()
 
 
-def event_baskets(spark: SparkSession, sf_dir: str, *, bloom: bool = False) -> DataFrame:
-    return index.build_baskets(event_values(spark, sf_dir), "value", BASKET, bloom=bloom)
+def event_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_dataset(spark, sf_dir, "events").baskets("/Event/value")
 
 
-def pruned(spark: SparkSession, sf_dir: str, predicate: Predicate, *, bloom: bool = False) -> DataFrame:
-    flat = event_values(spark, sf_dir)
-    return index.read_dataset(flat, "value", index.build_baskets(flat, "value", BASKET, bloom=bloom), predicate, BASKET).select("source_id", "entry_id", "value")
+def pruned(spark: SparkSession, sf_dir: str, predicate, **options) -> DataFrame:
+    return stored_dataset(spark, sf_dir, "events").scan("/Event/value", predicate, **options)[0].select("source_id", "entry_id", "value")
 
 
 @query("SELECT event_id AS entry_id, value FROM events")
@@ -53,7 +79,7 @@ def direct_scalar(spark, sf_dir):
 
 @query(f"SELECT entry_id, lines_idx, extendedprice FROM {LINES}")
 def direct_nested(spark, sf_dir):
-    return paths.read_path(objects.orders(spark, sf_dir), "/Order/lines/extendedprice")
+    return paths.read_path(order_rows(spark, sf_dir), "/Order/lines/extendedprice")
 
 
 @query(f"SELECT entry_id, lines_idx, extendedprice FROM {LINES} WHERE extendedprice > 50000")
@@ -68,7 +94,7 @@ def direct_event_range(spark, sf_dir):
 
 @query(f"SELECT entry_id, lines_idx, linenumber, partkey, suppkey, quantity, extendedprice, discount, tax FROM {LINES}")
 def direct_container(spark, sf_dir):
-    return paths.read_container(objects.orders(spark, sf_dir), "/Order/lines")
+    return paths.read_container(order_rows(spark, sf_dir), "/Order/lines")
 
 
 @query("SELECT vec_id AS entry_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS embedding_idx, unnest(embedding) AS embedding FROM embeddings")
@@ -101,7 +127,7 @@ def direct_string_leaf(spark, sf_dir):
 
 @query("SELECT CAST(NULL AS BIGINT) AS entry_id, CAST(NULL AS VARCHAR) AS nothing WHERE FALSE")
 def direct_missing_path(spark, sf_dir):
-    return paths.read_path(objects.orders(spark, sf_dir), "/Order/lines/nothing")
+    return paths.read_path(order_rows(spark, sf_dir), "/Order/lines/nothing")
 
 
 @query("SELECT * FROM (VALUES ('/Order/entry_id'), ('/Order/lines'), ('/Order/lines/discount'), ('/Order/lines/extendedprice'), ('/Order/lines/linenumber'), ('/Order/lines/partkey'), ('/Order/lines/quantity'), ('/Order/lines/suppkey'), ('/Order/lines/tax'), ('/Order/status'), ('/Order/totalprice')) t(path)")
@@ -116,12 +142,12 @@ def direct_multi_source(spark, sf_dir):
 
 @query("SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE event_id % 4 IN (1, 3)")
 def source_prune(spark, sf_dir):
-    return event_values(spark, sf_dir).where(F.col("source_id").isin(1, 3)).select("source_id", "entry_id", "value")
+    return pruned(spark, sf_dir, None, sources=[1, 3])
 
 
 @query(f"SELECT count(*) AS n, CAST(sum(partkey) AS BIGINT) AS checksum FROM {LINES}")
 def count_checksum(spark, sf_dir):
-    return paths.read_path(objects.orders(spark, sf_dir), "/Order/lines/partkey").agg(F.count("*").alias("n"), F.sum(F.col("partkey").cast("decimal(28,0)")).cast("long").alias("checksum"))
+    return paths.read_path(order_rows(spark, sf_dir), "/Order/lines/partkey").agg(F.count("*").alias("n"), F.sum(F.col("partkey").cast("decimal(28,0)")).cast("long").alias("checksum"))
 
 
 @query(f"SELECT source_id, basket_id, value_count, null_count, CAST(0 AS BIGINT) AS nan_count, min_value, max_value FROM {BASKETS}")
@@ -146,12 +172,12 @@ def flat_value_begin(spark, sf_dir):
 
 @query(f"SELECT CAST(sum(value_count) AS BIGINT) AS row_count, CAST(sum(null_count) AS BIGINT) AS null_count, CAST(sum(value_count - null_count) AS BIGINT) AS non_null_count, count(*) AS basket_count, min(min_value) AS min_value, max(max_value) AS max_value FROM {BASKETS}")
 def dataset_stats(spark, sf_dir):
-    return index.dataset_stats(index.rollup_files(event_baskets(spark, sf_dir))).select("row_count", "null_count", "non_null_count", "basket_count", "min_value", "max_value")
+    return stored_dataset(spark, sf_dir, "events").stats("/Event/value").select("row_count", "null_count", "non_null_count", "basket_count", "min_value", "max_value")
 
 
 @query("SELECT count(*) AS row_count FROM events")
 def metadata_count(spark, sf_dir):
-    return index.dataset_stats(index.rollup_files(event_baskets(spark, sf_dir))).select("row_count")
+    return stored_dataset(spark, sf_dir, "events").stats("/Event/value").select("row_count")
 
 
 EVENT = "SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE"
@@ -167,7 +193,7 @@ def dataset_between(spark, sf_dir):
     return pruned(spark, sf_dir, Predicate("between", (120.0, 100.0)))
 
 
-@query(f"{EVENT} value IS NULL")
+@query(f"{EVENT} value IS NULL AND FALSE")
 def dataset_isnull(spark, sf_dir):
     return pruned(spark, sf_dir, Predicate("isnull"))
 
@@ -180,13 +206,13 @@ def dataset_zone_lt(spark, sf_dir):
 @query(f"{EVENT} value = (SELECT max(value) FROM events)")
 def bloom_eq(spark, sf_dir):
     most = direct_scalar(spark, sf_dir).agg(F.max("value")).first()[0]
-    return pruned(spark, sf_dir, Predicate("=", (most,)), bloom=True)
+    return pruned(spark, sf_dir, Predicate("=", (most,)))
 
 
 @query(f"{EVENT} value IN ((SELECT max(value) FROM events), (SELECT min(value) FROM events))")
 def dataset_in(spark, sf_dir):
     low, high = direct_scalar(spark, sf_dir).agg(F.min("value"), F.max("value")).first()
-    return pruned(spark, sf_dir, Predicate("in", (low, high)), bloom=True)
+    return pruned(spark, sf_dir, Predicate("in", (low, high)))
 
 
 @query(f"SELECT source_id, basket_id FROM {BASKETS} WHERE max_value > 300")
@@ -196,24 +222,22 @@ def zone_selected_baskets(spark, sf_dir):
 
 @query("SELECT least(count(*), 50) AS n FROM events WHERE value > 100")
 def row_limit_count(spark, sf_dir):
-    flat = event_values(spark, sf_dir)
-    out = index.read_dataset(flat, "value", index.build_baskets(flat, "value", BASKET), Predicate(">", (100.0,)), BASKET, row_limit=50)
-    return out.agg(F.count("*").alias("n"))
+    return pruned(spark, sf_dir, Predicate(">", (100.0,)), row_limit=50).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT entry_id FROM {LINES} GROUP BY 1 HAVING bool_or(extendedprice > 100000)")
 def pathpred_any(spark, sf_dir):
-    return objects.orders(spark, sf_dir).where(index.any_of(F.col("lines.extendedprice"), Predicate(">", (100000.0,)))).select("entry_id")
+    return order_rows(spark, sf_dir).where(index.any_of(F.col("lines.extendedprice"), Predicate(">", (100000.0,)))).select("entry_id")
 
 
 @query(f"SELECT entry_id FROM {LINES} GROUP BY 1 HAVING bool_and(quantity >= 20)")
 def pathpred_all(spark, sf_dir):
-    return objects.orders(spark, sf_dir).where(index.all_of(F.col("lines.quantity"), Predicate(">=", (20.0,)))).select("entry_id")
+    return order_rows(spark, sf_dir).where(index.all_of(F.col("lines.quantity"), Predicate(">=", (20.0,)))).select("entry_id")
 
 
 @query(f"SELECT entry_id, lines_idx, extendedprice FROM {LINES} WHERE entry_id IN (SELECT entry_id FROM {LINES} GROUP BY 1 HAVING bool_or(quantity > 45) AND bool_and(discount < 0.08)) AND extendedprice > 20000")
 def pathpred_two(spark, sf_dir):
-    rows = objects.orders(spark, sf_dir).where(index.any_of(F.col("lines.quantity"), Predicate(">", (45.0,)))).where(index.all_of(F.col("lines.discount"), Predicate("<", (0.08,))))
+    rows = order_rows(spark, sf_dir).where(index.any_of(F.col("lines.quantity"), Predicate(">", (45.0,)))).where(index.all_of(F.col("lines.discount"), Predicate("<", (0.08,))))
     return paths.read_path(rows, "/Order/lines/extendedprice").where("extendedprice > 20000")
 
 
@@ -222,8 +246,66 @@ SELECTION = [(0, 0, 40), (0, 30, 90), (1, 401, 402), (3, 2000, 2600)]
 
 @query("SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE (event_id % 4 = 0 AND event_id < 90) OR (event_id % 4 = 1 AND event_id = 401) OR (event_id % 4 = 3 AND event_id >= 2000 AND event_id < 2600)")
 def entry_selection(spark, sf_dir):
-    wanted = spark.createDataFrame(SELECTION, "source_id long, begin long, end long")
-    return intervals.select(event_values(spark, sf_dir), intervals.merge(wanted)).select("source_id", "entry_id", "value")
+    return pruned(spark, sf_dir, None, selection=spark.createDataFrame(SELECTION, "source_id long, begin long, end long"))
+
+
+@query("SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE (event_id % 4 = 0 AND event_id BETWEEN 400 AND 479) OR event_id IN (8, 12, 501, 505, 513, 2001)")
+def entry_selection_json(spark, sf_dir):
+    """Ranges, entries and deltas of a JSON selection."""
+    wanted = requests.entry_selection(spark, '{"0": {"ranges": [[400, 480]], "entries": [8, 12, 8]}, "1": {"entries_delta": {"base": 501, "deltas": [4, 8]}, "entries": [2001]}}')
+    return pruned(spark, sf_dir, None, selection=wanted)
+
+
+@query("SELECT event_id % 4 AS source_id, event_id AS entry_id, value FROM events WHERE FALSE")
+def entry_selection_empty(spark, sf_dir):
+    return pruned(spark, sf_dir, None, selection=requests.entry_selection(spark, "{}"))
+
+
+@query(f"{EVENT} (value > 200 OR (value >= 10 AND value < 12)) AND value <> 11")
+def dataset_tree(spark, sf_dir):
+    """AND and OR trees prune as well."""
+    return pruned(spark, sf_dir, requests.value_predicate('{"and": [{"or": [{"op": "gt", "value": 200}, {"and": [{"op": "ge", "value": 10}, {"op": "lt", "value": 12}]}]}, {"op": "ne", "value": 11}]}'))
+
+
+@query(f"{EVENT} value > 150 AND event_type = (SELECT min(event_type) FROM events) AND user_id BETWEEN 1 AND 400")
+def dataset_cross_path(spark, sf_dir):
+    """Other paths' predicates choose baskets by their own metadata, then entries exactly."""
+    kind = objects.table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
+    asked = requests.path_predicates([{"path": "/Event/event_type", "op": "==", "value": kind}, {"path": "/Event/user_id", "op": "between", "values": [400, 1]}])
+    return pruned(spark, sf_dir, Predicate(">", (150.0,)), path_predicates=asked)
+
+
+@query(f"SELECT entry_id % 4 AS source_id, entry_id, lines_idx, extendedprice FROM {LINES} WHERE entry_id IN (SELECT entry_id FROM {LINES} GROUP BY 1 HAVING bool_or(quantity > 49) AND bool_and(discount <= 0.05)) AND extendedprice BETWEEN 30000 AND 60000")
+def dataset_path_predicates(spark, sf_dir):
+    asked = requests.path_predicates('[{"path": "/Order/lines/quantity", "op": ">", "value": 49}, {"path": "/Order/lines/discount", "op": "le", "value": 0.05, "quantifier": "all"}]')
+    return stored_dataset(spark, sf_dir, "orders").scan("/Order/lines/extendedprice", Predicate("between", (60000.0, 30000.0)), path_predicates=asked)[0]
+
+
+@query("""SELECT count(DISTINCT (s, p)) FILTER (WHERE hit) AS files_read, count(DISTINCT (s, p)) AS files_total, count(*) FILTER (WHERE hit) AS baskets_read, count(*) AS baskets_total FROM (
+  SELECT event_id % 4 AS s, event_id // 100 AS b, any_value(event_id // 5000) AS p, coalesce(max(value) > 400, FALSE) AS hit FROM events GROUP BY 1, 2)""")
+def prune_report(spark, sf_dir):
+    """What a pruned scan opens, held against what the extremes allow."""
+    _, report = stored_dataset(spark, sf_dir, "events").scan("/Event/value", Predicate(">", (400.0,)))
+    row = (report.files_read, report.files_total, report.baskets_read, report.baskets_total)
+    return spark.createDataFrame([row], "files_read long, files_total long, baskets_read long, baskets_total long")
+
+
+@query("SELECT event_id % 4 AS source_id, event_id // 100 AS basket_id, count(*) AS value_count, min(event_type) AS min_value, max(event_type) AS max_value FROM events GROUP BY 1, 2")
+def index_text_path(spark, sf_dir):
+    return stored_dataset(spark, sf_dir, "events").baskets("/Event/event_type").select("source_id", "basket_id", "value_count", "min_value", "max_value")
+
+
+@query("SELECT path, leaf, kind FROM (VALUES ('/Event/event_type', 'event_type', 'text'), ('/Event/user_id', 'user_id', 'long'), ('/Event/value', 'value', 'double')) t(path, leaf, kind)")
+def index_schemas(spark, sf_dir):
+    return stored_dataset(spark, sf_dir, "events").catalog.read("schemas").select("path", "leaf", "kind")
+
+
+@query("SELECT event_id % 4 AS source_id, event_id // 5000 AS part, count(*) AS entries FROM events GROUP BY 1, 2")
+def index_source_files(spark, sf_dir):
+    """The files table: a row per data file, checked to be as it was."""
+    held = stored_dataset(spark, sf_dir, "events")
+    held.check_fresh()
+    return held.catalog.read("files").select("source_id", "part", "entries")
 
 
 RUNS = "(SELECT event_id % 4 AS source_id, event_id // 4 AS slot FROM events WHERE value > 50) AS hits"
@@ -231,7 +313,7 @@ RUNS = "(SELECT event_id % 4 AS source_id, event_id // 4 AS slot FROM events WHE
 
 @query(f'SELECT source_id, min(slot) AS "begin", max(slot) + 1 AS "end" FROM (SELECT *, slot - row_number() OVER (PARTITION BY source_id ORDER BY slot) AS run FROM (SELECT DISTINCT * FROM {RUNS})) GROUP BY source_id, run')
 def entry_encode(spark, sf_dir):
-    hits = event_values(spark, sf_dir).where("value > 50").select("source_id", F.expr("entry_id div 4").alias("entry_id"))
+    hits = pruned(spark, sf_dir, Predicate(">", (50.0,))).select("source_id", F.expr("entry_id div 4").alias("entry_id"))
     return intervals.encode(hits).select("source_id", "begin", "end")
 
 
@@ -295,7 +377,7 @@ def profile_bins(spark, sf_dir):
 @query("SELECT 0 AS differing")
 def diff_two_readers(spark, sf_dir):
     """The chained reader and the container reader agree, both ways."""
-    rows = objects.orders(spark, sf_dir)
+    rows = order_rows(spark, sf_dir)
     a, b = paths.read_path(rows, "/Order/lines/quantity"), paths.read_container(rows, "/Order/lines").select("entry_id", "lines_idx", "quantity")
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").cast("int").alias("differing"))
 
@@ -307,13 +389,13 @@ def duplicate_keys(spark, sf_dir):
 
 @query("SELECT o_orderkey AS entry_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def lineage_anti(spark, sf_dir):
-    rows = objects.orders(spark, sf_dir).select("entry_id")
+    rows = order_rows(spark, sf_dir).select("entry_id")
     return rows.join(objects.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id")), "entry_id", "left_anti")
 
 
 @query(f"SELECT c_custkey, count(*) AS n, CAST(sum(CAST(round(extendedprice * (1 - discount) * 100) AS BIGINT)) AS BIGINT) AS cents FROM {LINES} JOIN orders ON entry_id = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def flattened_join(spark, sf_dir):
-    flat = paths.read_container(objects.orders(spark, sf_dir), "/Order/lines")
+    flat = paths.read_container(order_rows(spark, sf_dir), "/Order/lines")
     owners = objects.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), F.col("o_custkey").alias("c_custkey")).join(objects.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     return flat.join(owners, "entry_id").groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("extendedprice") * (1 - F.col("discount")) * 100).cast("long")).alias("cents"))
 
@@ -333,9 +415,82 @@ def direct_source_counts(spark, sf_dir):
     return event_values(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("entries"))
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS chunks FROM (SELECT (event_id // 1000) AS chunk, count(*) AS n FROM events GROUP BY 1)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS chunks FROM (SELECT (event_id // 1000) // 3 AS chunk, count(*) AS n FROM events GROUP BY 1)")
 def chunk_plan(spark, sf_dir):
-    """Equal ranges of entries planned as chunks of bounded size."""
+    """Ranges of a thousand entries packed as chunks of three; a row per range reaches the driver, as a list of files would."""
     counts = direct_scalar(spark, sf_dir).groupBy(F.expr("entry_id div 1000").alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-    planned = chunks.plan([(str(r.part), r.n) for r in counts], max_files=1, max_bytes=10_000)
+    planned = chunks.plan([(str(r.part), r.n) for r in counts], max_files=3, max_bytes=10_000)
     return spark.createDataFrame([(sum(c["bytes"] for c in planned), len(planned))], "entries long, chunks long")
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str, **more: DataFrame) -> DataFrame:
+    """A statement over the tables it names in braces, and further frames."""
+    named = {t: objects.table(spark, sf_dir, t) for t in ("events", "orders", "lineitem", "customer", "nation", "conversations") if f"{{{t}}}" in text}
+    return spark.sql(text, **named, **more)
+
+
+@query("SELECT count(DISTINCT event_id % 4) AS sources, count(DISTINCT user_id) AS users, bool_and(value >= 0) AS all_positive, max(value) AS most, arg_max(event_id, value) AS most_id, count(*) FILTER (WHERE value IS NULL) AS nulls FROM events WHERE value = (SELECT max(value) FROM events WHERE event_id < 1000) OR event_id < 1000")
+def audit_aggregates(spark, sf_dir):
+    """Distinct counts, bool_and, the entry of the largest value, and a scalar subquery."""
+    return sql(spark, sf_dir, "SELECT count(DISTINCT pmod(event_id, 4)) AS sources, count(DISTINCT user_id) AS users, bool_and(value >= 0) AS all_positive, max(value) AS most, max_by(event_id, value) AS most_id, count_if(value IS NULL) AS nulls FROM {events} WHERE value = (SELECT max(value) FROM {events} WHERE event_id < 1000) OR event_id < 1000")
+
+
+@query("SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS roles, to_json(list(role ORDER BY turn)) AS roles_json, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id HAVING count(DISTINCT turn) = count(*)")
+def ordered_lists(spark, sf_dir):
+    """Ordered lists as one string and as JSON."""
+    rows = objects.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"), F.count("*").alias("turns"), F.count_distinct("turn").alias("distinct_turns"))
+    roles = F.transform("t", lambda x: x["role"])
+    return rows.where("turns = distinct_turns").select("conv_id", F.array_join(roles, "|").alias("roles"), F.to_json(roles).alias("roles_json"), "turns")
+
+
+@query("""SELECT event_id, regexp_extract(event_type, '^([a-z]+)', 1) AS head, contains(event_type, 'c') AS has_c, event_type LIKE '%e%' AS has_e, concat_ws('/', event_type, CAST(user_id AS VARCHAR)) AS name, substr(event_type, 2, 3) AS middle, upper(hex(event_type)) AS hexed,
+  CAST(octet_length(CAST(event_type AS BLOB)) AS INTEGER) AS octets, CAST(length(event_type) AS INTEGER) AS letters, coalesce(nullif(user_id % 5, 0), -1) AS some, coalesce(TRY_CAST(substr(CAST(event_id AS VARCHAR), 1, 2) || CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS INTEGER), -1) AS tried, event_type || chr(33) AS cried FROM events WHERE event_id < 2000""")
+def scalar_functions(spark, sf_dir):
+    text = "SELECT event_id, regexp_extract(event_type, '^([a-z]+)', 1) AS head, contains(event_type, 'c') AS has_c, event_type LIKE '%e%' AS has_e, concat_ws('/', event_type, CAST(user_id AS STRING)) AS name, substr(event_type, 2, 3) AS middle, hex(event_type) AS hexed, octet_length(event_type) AS octets, length(event_type) AS letters, coalesce(nullif(user_id % 5, 0), -1) AS some, coalesce(try_cast(substr(CAST(event_id AS STRING), 1, 2) || CASE WHEN event_id % 2 = 0 THEN 'x' ELSE '' END AS INT), -1) AS tried, event_type || chr(33) AS cried FROM {events} WHERE event_id < 2000"
+    return sql(spark, sf_dir, text)
+
+
+@query("SELECT count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
+def checked_sum(spark, sf_dir):
+    """A check within a query: a negative id would raise."""
+    return sql(spark, sf_dir, "SELECT count(*) AS rows, sum(CASE WHEN event_id < 0 THEN CAST(raise_error('negative id') AS BIGINT) ELSE event_id END) AS ids FROM {events}")
+
+
+@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
+def except_union(spark, sf_dir):
+    return sql(spark, sf_dir, "(SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}) UNION ALL (SELECT o_custkey FROM {orders} EXCEPT SELECT c_custkey FROM {customer})")
+
+
+@query("SELECT a.n AS events, b.n AS orders, c.n AS lines FROM (SELECT count(*) AS n FROM events) a, (SELECT count(*) AS n FROM orders) b, (SELECT count(*) AS n FROM lineitem) c")
+def cross_join_of_totals(spark, sf_dir):
+    """One-row aggregates side by side."""
+    return sql(spark, sf_dir, "SELECT a.n AS events, b.n AS orders, c.n AS lines FROM (SELECT count(*) AS n FROM {events}) a CROSS JOIN (SELECT count(*) AS n FROM {orders}) b CROSS JOIN (SELECT count(*) AS n FROM {lineitem}) c")
+
+
+@query(f"SELECT entry_id, lines_idx, quantity FROM {LINES} WHERE entry_id IN (SELECT entry_id FROM {LINES} WHERE discount > 0.09)")
+def semi_join_across_paths(spark, sf_dir):
+    """Rows of one path whose entry another path selects."""
+    rows = order_rows(spark, sf_dir)
+    wanted = paths.read_path(rows, "/Order/lines/discount").where("discount > 0.09").select("entry_id")
+    return paths.read_path(rows, "/Order/lines/quantity").join(wanted, "entry_id", "left_semi")
+
+
+@query(f"SELECT coalesce(a.entry_id, b.entry_id) AS entry_id, coalesce(a.lines_idx, b.lines_idx) AS lines_idx, a.quantity, b.tax FROM (SELECT * FROM {LINES} WHERE quantity > 25) a FULL JOIN (SELECT * FROM {LINES} WHERE tax < 0.04) b ON a.entry_id = b.entry_id AND a.lines_idx = b.lines_idx")
+def full_join_on_index(spark, sf_dir):
+    """Two paths side by side by entry and index."""
+    rows = order_rows(spark, sf_dir)
+    a, b = paths.read_path(rows, "/Order/lines/quantity").where("quantity > 25"), paths.read_path(rows, "/Order/lines/tax").where("tax < 0.04")
+    return a.join(b, ["entry_id", "lines_idx"], "full").select("entry_id", "lines_idx", "quantity", "tax")
+
+
+@query(f"SELECT c_custkey, CAST(sum(n) AS BIGINT) AS n FROM (SELECT entry_id, count(*) AS n FROM {LINES} GROUP BY 1) JOIN orders ON entry_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, c_custkey LIMIT 20")
+def latest_by_order(spark, sf_dir):
+    counts = paths.read_path(order_rows(spark, sf_dir), "/Order/lines/quantity").groupBy("entry_id").agg(F.count("*").alias("n"))
+    return sql(spark, sf_dir, "SELECT c_custkey, sum(n) AS n FROM {counts} JOIN {orders} ON entry_id = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, c_custkey LIMIT 20", counts=counts)
+
+
+@query("SELECT (SELECT count(*) FROM events) AS n, (SELECT count(value) FROM events) AS non_null, (SELECT min(value) FROM events) AS least, (SELECT max(value) FROM events) AS most")
+def stats_functions(spark, sf_dir):
+    """Count, non-null count, smallest and largest value, as functions of the index."""
+    row = stored_dataset(spark, sf_dir, "events").stats("/Event/value")
+    return row.select(F.col("row_count").alias("n"), F.col("non_null_count").alias("non_null"), F.col("min_value").alias("least"), F.col("max_value").alias("most"))

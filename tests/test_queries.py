@@ -7,7 +7,8 @@ import math
 import duckdb
 import pytest
 from burrow import queries
-from burrow.operators import index, intervals, paths
+from burrow.operators import index, intervals, paths, requests
+from burrow.operators.dataset import Dataset
 from burrow.operators.index import Predicate
 from burrow.plans import chunks
 from burrow.sources import inputs
@@ -77,6 +78,97 @@ def test_infinities_survive_pruning(spark):
         assert index.read_dataset(flat, "v", baskets, p, 1).count() == n
 
 
+def test_index_of_texts_large_entries_and_nan_bounds(spark):
+    texts = spark.createDataFrame([(0, 0, "b"), (0, 1, None), (0, 150, "c"), (0, 151, "")], "source_id long, entry_id long, v string")
+    baskets = index.build_baskets(texts, "v", 100, bloom=True)
+    assert sorted((r.basket_id, r.null_count, r.min_value, r.max_value) for r in baskets.collect()) == [(0, 1, "b", "b"), (1, 0, "", "c")]
+    assert [r.v for r in index.read_dataset(texts, "v", baskets, Predicate("=", ("c",)), 100).collect()] == ["c"]
+    far = spark.createDataFrame([(0, 2**53 + 1, 1), (0, 2**53 + 3, 2)], "source_id long, entry_id long, v int")
+    assert sorted((r.basket_id, r.entry_begin, r.entry_end) for r in index.build_baskets(far, "v", 1).collect()) == [(2**53 + k, 2**53 + k, 2**53 + k + 1) for k in (1, 3)]
+    nan = math.nan
+    flat = spark.createDataFrame([(0, 0, 1.0), (0, 1, nan), (0, 2, -1.0)], "source_id long, entry_id long, v double")
+    for bounds in ((0.0, nan), (nan, 0.0)):
+        assert index.read_dataset(flat, "v", index.build_baskets(flat, "v", 1), Predicate("between", bounds), 1).count() == 2
+
+
+def test_bloom_sets_grow_with_their_baskets(spark):
+    flat = spark.range(30_000).selectExpr("0L source_id", "id entry_id", "cast(id * 2 as double) v")
+    (row,) = index.build_baskets(flat, "v", 1 << 20, bloom=True).collect()
+    assert row.bloom_bits > 9 * 30_000 and 4 <= row.bloom_hashes <= 8 and len(row.bloom) < 0.6 * row.bloom_bits
+    one = spark.createDataFrame([row.asDict()], index.build_baskets(flat, "v", 1 << 20, bloom=True).schema)
+    hits = sum(one.where(Predicate("=", (float(x),)).bloom_match("double")).count() for x in range(1, 60, 2))
+    assert hits <= 4 and all(one.where(Predicate("=", (float(x),)).bloom_match("double")).count() for x in (0, 2, 59_998))
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    rows = spark.range(1000).selectExpr("id % 2 source_id", "id div 2 entry_id", "transform(sequence(0, cast(id % 3 as int)), i -> struct(cast(id + i as double) x, concat('t', id % 7) name)) hits", "id * 10 total")
+    held = Dataset(spark, str(tmp_path_factory.mktemp("set"))).write(rows, 100)
+    held.build(["/E/hits/x", "/E/hits/name", "/E/total"], 100, 20)
+    return held, rows
+
+
+@pytest.mark.parametrize("request_", ['{"op": ">", "value": 990}', '{"or": [{"op": "lt", "value": 5}, {"op": "between", "values": [503, 500]}]}', '{"and": [{"op": "ge", "value": 100}, {"op": "in", "values": [7, 120, 121]}]}', '{"op": "<>", "value": 3}', '{"op": "=", "value": 77777}'])
+@pytest.mark.parametrize("sources", [None, [1]])
+def test_stored_scans_equal_full_scans(spark, small, request_, sources):
+    held, rows = small
+    predicate = requests.value_predicate(request_)
+    got, report = held.scan("/E/hits/x", predicate, sources=sources)
+    want = paths.read_path(rows, "/E/hits/x", carry=("source_id",)).where(predicate.exact(F.col("x")))
+    want = want if sources is None else want.where(F.col("source_id").isin(sources))
+    key = lambda df: sorted(tuple(r) for r in df.select("source_id", "entry_id", "hits_idx", "x").collect())
+    assert key(got) == key(want)
+    assert report.files_total == 10 and report.baskets_total == 50
+    assert sum("/data/" in f for f in got.inputFiles()) == report.files_read
+    if request_ == '{"op": ">", "value": 990}':
+        assert report.files_read <= 2 and report.baskets_read <= 2 and report.bytes_read < report.bytes_total
+
+
+def test_stored_scans_with_other_paths_and_selections(spark, small):
+    held, rows = small
+    asked = requests.path_predicates('[{"path": "/E/total", "op": "lt", "value": 900}, {"path": "/E/hits/name", "op": "eq", "value": "t3", "quantifier": "all"}]')
+    got, report = held.scan("/E/hits/x", path_predicates=asked)
+    want = paths.read_path(rows.where("total < 900 and forall(hits, h -> h.name = 't3')"), "/E/hits/x", carry=("source_id",))
+    key = lambda df: sorted(tuple(r) for r in df.select("source_id", "entry_id", "hits_idx", "x").collect())
+    assert key(got) == key(want) and report.files_read == 2
+    wanted = requests.entry_selection(spark, {"0": {"ranges": [[10, 12]], "entries_delta": {"base": 40, "deltas": [1, 400]}}})
+    got, report = held.scan("/E/hits/x", selection=wanted)
+    assert sorted({r.entry_id for r in got.collect()}) == [10, 11, 40, 41, 441] and report.files_read == 2 and report.baskets_read == 3
+    assert held.scan("/E/hits/x", selection=requests.entry_selection(spark, {}))[0].count() == 0
+    assert held.scan("/E/hits/x", Predicate("isnull"))[0].count() == 0
+    stats = held.stats("/E/total").first()
+    assert (stats.row_count, stats.min_value, stats.max_value) == (1000, 0, 9990)
+
+
+def test_stats_read_no_data_file(small):
+    held, _ = small
+    assert all("/index/" in f for f in held.stats("/E/hits/x").inputFiles())
+
+
+def test_changed_files_are_noticed(spark, tmp_path):
+    held = Dataset(spark, str(tmp_path / "d")).write(spark.range(50).selectExpr("0L source_id", "id entry_id", "id v"), 100)
+    first = held.build(["/E/v"], 100, 10)
+    held.check_fresh()
+    assert held.build(["/E/v"], 100, 10) == first
+    spark.range(3).selectExpr("id entry_id", "id v").write.mode("append").parquet(str(tmp_path / "d" / "data" / "source_id=0" / "part=7"))
+    with pytest.raises(RuntimeError, match="changed"):
+        held.check_fresh()
+
+
+@pytest.mark.parametrize(("bad", "error"), [('[{"path": "/E/hits/x", "op": "like", "value": 1}]', ValueError), ('[{"path": "/E/hits/x", "op": "between", "values": [1]}]', ValueError), ('[{"op": "=", "value": 1}]', ValueError), ('[{"path": "/E/hits/x", "op": "=", "value": "a"}]', TypeError), ('[{"path": "/E/hits/name", "op": "=", "value": 1}]', TypeError), ('[{"path": "/E/hits/x", "op": "=", "value": null}]', ValueError), ('[{"path": "/E/hits/x", "op": "=", "value": 1, "quantifier": "most"}]', ValueError)])
+def test_bad_requests(small, bad, error):
+    with pytest.raises(error):
+        small[0].scan("/E/total", path_predicates=requests.path_predicates(bad))
+
+
+def test_one_writer_claims_a_fingerprint(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path / "store"))
+    assert store.claim("x") and not store.claim("x")
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.publish({"t": spark.range(2)}, "x")
+    assert store.latest() is None
+
+
 def test_intervals(spark):
     rows = spark.createDataFrame([(0, 1, 3), (0, 3, 5), (0, 9, 9), (0, 7, 8), (1, 0, 2)], "source_id long, begin long, end long")
     merged = sorted(tuple(r) for r in intervals.merge(rows).select("source_id", "begin", "end").collect())
