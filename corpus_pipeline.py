@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; every stage but the
 last returns the columns of ``documents``. The last returns a row for each kept document, or copy of one, with its
 shard and its place in the shard.
+
+Cases, beside those of the operators: a null text counts as an empty one in every stage; all empty texts are one group of
+near-duplicates, of which the smallest doc_id stays; rows of a null doc_id are kept or not as any other, and of equal texts
+those with a doc_id stay; repeated rows are near-duplicates; an empty table gives an empty result; extra columns pass through
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
