@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from burrow.llm import mixing, queries
 from burrow.llm.common import stored
 from pyspark.sql import functions as F
@@ -88,3 +89,15 @@ def test_pipeline(spark, tables):
     assert counts[0] >= counts[1] > counts[2] > counts[3] and counts[4] == counts[5]
     got = docs.groupBy("shard").count().collect()
     assert max(r["count"] for r in got) - min(r["count"] for r in got) <= 1
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_stages_on_no_rows_and_on_clashing_columns(spark, tables, rows):
+    """Equal rows of clashing columns are near-duplicates of one another; no rows stay no rows."""
+    text = "the reader of the old library found a quiet place by the window and read on until the evening came " * 3
+    docs = spark.createDataFrame([(i, text, "en", "web", None, 1, "x") for i in range(rows)], "doc_id long, text string, lang string, source string, overlap string, row int, score string")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("simhash_near_dedup", "benchmark_decontamination", "shard") or not rows:
+            out = stage(spark, docs, tables)
+            assert out.count() == (0 if not rows else 1 if name == "simhash_near_dedup" else rows)
+            assert name == "shard" or out.columns == docs.columns
