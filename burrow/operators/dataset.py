@@ -58,6 +58,10 @@ class Dataset:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.catalog = Catalog(spark, f"{self.root}/index")
+        #: The committed snapshot that this object reads, found at the first look; and what it says of each path.
+        self.snapshot: str | None = None
+        self.schemas: dict[str, object] = {}
+        self.shape = None
 
     # -- writing
 
@@ -103,7 +107,8 @@ class Dataset:
             own = own.drop("min_value", "max_value")
             baskets = own if baskets is None else baskets.unionByName(own)
         made = self.spark.createDataFrame
-        return self.catalog.publish(
+        self.schemas = {}
+        self.snapshot = self.catalog.publish(
             {
                 "files": files,
                 "schemas": made(schemas, "path string, leaf string, type string, kind string, levels array<string>, part_entries long, basket_entries long"),
@@ -112,18 +117,28 @@ class Dataset:
             },
             fingerprint,
         )
+        return self.snapshot
 
     # -- reading the index
 
+    def table(self, name: str) -> DataFrame:
+        if self.snapshot is None:
+            self.snapshot = self.catalog.latest()
+            if self.snapshot is None:
+                raise ValueError("nothing is committed")
+        return self.spark.read.parquet(f"{self.catalog.root}/snapshots/{self.snapshot}/{name}")
+
     def schema_of(self, path: str):
-        held = self.catalog.read("schemas").where(F.col("path") == path).collect()
-        if not held:
+        """The index's row of a path."""
+        if not self.schemas:
+            self.schemas = {r.path: r for r in self.table("schemas").collect()}
+        if path not in self.schemas:
             raise ValueError(f"{path} is not indexed")
-        return held[0]
+        return self.schemas[path]
 
     def baskets(self, path: str) -> DataFrame:
         kind = self.schema_of(path).kind
-        rows = self.catalog.read("baskets").where(F.col("path") == path)
+        rows = self.table("baskets").where(F.col("path") == path)
         return rows.withColumn("min_value", F.col(f"min_{kind}")).withColumn("max_value", F.col(f"max_{kind}")).drop(*[f"{s}_{k}" for s in ("min", "max") for k in ("double", "long", "text")])
 
     def stats(self, path: str) -> DataFrame:
@@ -133,7 +148,7 @@ class Dataset:
     def check_fresh(self) -> None:
         """Raise if a data file is not as it was when the index was built."""
         names = ["path", "bytes", "modified"]
-        now, then = self.listing().select(names), self.catalog.read("files").select(names)
+        now, then = self.listing().select(names), self.table("files").select(names)
         if now.exceptAll(then).unionAll(then.exceptAll(now)).head(1):
             raise RuntimeError("data files have changed since the index was built")
 
@@ -163,20 +178,20 @@ class Dataset:
 
         ``value IS NULL`` finds nothing, as a flattened value stands for itself; no selected entry gives no row.
         """
-        held, files = self.schema_of(path), self.catalog.read("files")
+        held, files = self.schema_of(path), self.table("files")
         chosen = self.chosen(path, predicate, path_predicates, selection, sources)
         if isinstance(predicate, index.Predicate) and predicate.op == "isnull":
             chosen = chosen.where(F.lit(False))
         opened = files.join(chosen.select("source_id", "part").distinct(), ["source_id", "part"], "left_semi")
         total = files.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
         read = opened.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-        baskets = self.catalog.read("baskets").where(F.col("path") == path).count()
+        baskets = self.table("baskets").where(F.col("path") == path).count()
         kept = chosen.agg(F.count("*").alias("n"), F.min("entry_begin").alias("begin"), F.max("entry_end").alias("end")).first()
         report = PruneReport(total.n, read.n, total.bytes, read.bytes, baskets, kept.n)
         if read.n <= MOST_FILES:
             names = [r.path for r in opened.select("path").collect()]
-            shape = self.entries().schema
-            rows = self.spark.read.schema(shape).option("basePath", f"{self.root}/data").parquet(*names) if names else self.spark.createDataFrame([], shape)
+            self.shape = self.shape or self.entries().schema
+            rows = self.spark.read.schema(self.shape).option("basePath", f"{self.root}/data").parquet(*names) if names else self.spark.createDataFrame([], self.shape)
         else:
             rows = self.entries().join(F.broadcast(chosen.select("source_id", "part").distinct()) if kept.n <= MOST_BASKETS else chosen.select("source_id", "part").distinct(), ["source_id", "part"], "left_semi")
         if kept.n:

@@ -297,7 +297,7 @@ def index_text_path(spark, sf_dir):
 
 @query("SELECT path, leaf, kind FROM (VALUES ('/Event/event_type', 'event_type', 'text'), ('/Event/user_id', 'user_id', 'long'), ('/Event/value', 'value', 'double')) t(path, leaf, kind)")
 def index_schemas(spark, sf_dir):
-    return stored_dataset(spark, sf_dir, "events").catalog.read("schemas").select("path", "leaf", "kind")
+    return stored_dataset(spark, sf_dir, "events").table("schemas").select("path", "leaf", "kind")
 
 
 @query("SELECT event_id % 4 AS source_id, event_id // 5000 AS part, count(*) AS entries FROM events GROUP BY 1, 2")
@@ -305,7 +305,7 @@ def index_source_files(spark, sf_dir):
     """The files table: a row per data file, checked to be as it was."""
     held = stored_dataset(spark, sf_dir, "events")
     held.check_fresh()
-    return held.catalog.read("files").select("source_id", "part", "entries")
+    return held.table("files").select("source_id", "part", "entries")
 
 
 RUNS = "(SELECT event_id % 4 AS source_id, event_id // 4 AS slot FROM events WHERE value > 50) AS hits"

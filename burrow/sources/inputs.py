@@ -6,6 +6,7 @@ import glob
 import json
 import os
 
+#: Names that end so are lists of inputs.
 LIST_SUFFIXES = (".txt", ".list", ".manifest", ".uris")
 LIMIT = 1_000_000
 
