@@ -88,10 +88,13 @@ def value_begins(baskets: DataFrame, source: str = "source_id") -> DataFrame:
     return baskets.withColumn("flat_value_begin", F.coalesce(F.sum("value_count").over(before), F.lit(0)).cast("long"))
 
 
-def event_bases(files: DataFrame, source: str = "source_id") -> DataFrame:
-    """Where each source's entries begin in the whole dataset; one row per source."""
-    before = W.orderBy(source).rowsBetween(W.unboundedPreceding, -1)
-    return files.withColumn("event_base", F.coalesce(F.sum("total_entries").over(before), F.lit(0)).cast("long"))
+def event_bases(files: DataFrame, source: str = "source_id", group: int = 4096) -> DataFrame:
+    """Where each source's entries begin in the whole dataset; one row per source. Groups of sources are summed first."""
+    rows = files.withColumn("_group", F.expr(f"`{source}` div {group}"))
+    before = lambda w: F.coalesce(F.sum("total_entries").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    groups = rows.groupBy("_group").agg(F.sum("total_entries").alias("total_entries")).select("_group", before(W.orderBy("_group")).alias("_base"))
+    rows = rows.withColumn("_within", before(W.partitionBy("_group").orderBy(source))).join(groups, "_group")
+    return rows.withColumn("event_base", F.col("_base") + F.col("_within")).drop("_group", "_base", "_within")
 
 
 def dataset_stats(files: DataFrame) -> DataFrame:

@@ -2,32 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def merge(intervals: DataFrame, source: str = "source_id") -> DataFrame:
-    """Intervals that touch or overlap become one; empty ones go."""
-    order = W.partitionBy(source).orderBy("begin", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = intervals.where("begin < end").withColumn("new", F.when(F.col("begin") <= reach, 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("new").over(order))
-    return rows.groupBy(source, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+#: Width of the cells that a source's intervals are dealt to by their begin: the most distinct begins that one task sorts together.
+CELL = 1 << 16
 
 
-def intersect(a: DataFrame, b: DataFrame, source: str = "source_id") -> DataFrame:
-    """Overlaps of two sets of merged intervals."""
-    x, y = a.alias("x"), b.alias("y")
-    hit = (F.col(f"x.{source}") == F.col(f"y.{source}")) & (F.col("x.begin") < F.col("y.end")) & (F.col("y.begin") < F.col("x.end"))
-    return x.join(y, hit).select(f"x.{source}", F.greatest("x.begin", "y.begin").alias("begin"), F.least("x.end", "y.end").alias("end"))
+def carried(rows: DataFrame, source: str, **figures: Column) -> DataFrame:
+    """``rows`` with the largest of each figure in all earlier cells of the source: running figures over one row per cell."""
+    before = W.partitionBy("_source").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    cells = rows.groupBy(F.col(source).alias("_source"), F.col("_cell").alias("_at")).agg(*[F.max(c).alias(n) for n, c in figures.items()])
+    cells = cells.select("_source", "_at", *[F.max(n).over(before).alias(n) for n in figures])
+    return rows.join(cells, (F.col(source) == F.col("_source")) & (F.col("_cell") == F.col("_at"))).drop("_source", "_at")
 
 
-def encode(entries: DataFrame, source: str = "source_id", entry: str = "entry_id") -> DataFrame:
+def merge(intervals: DataFrame, source: str = "source_id", cell: int = CELL) -> DataFrame:
+    """Intervals that touch or overlap become one; empty ones and those without a source go.
+
+    No task holds all intervals of a source: cells find their islands on their own, knowing how far earlier cells reach, and
+    an island that goes on over cells is put together by its begin.
+    """
+    rows = intervals.where("begin < end").groupBy(source, "begin").agg(F.max("end").alias("end"))
+    rows = carried(rows.withColumn("_cell", F.expr(f"begin div {cell}")), source, _reach=F.col("end"))
+    inside = W.partitionBy(source, "_cell").orderBy("begin")
+    reach = F.greatest("_reach", F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_new", F.when(F.col("begin") <= reach, 0).otherwise(1))
+    rows = rows.withColumn("_island", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.groupBy(source, "_cell", "_island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    rows = carried(rows, source, _open=F.when(F.col("_island") > 0, F.col("begin")))
+    first = F.when(F.col("_island") > 0, F.col("begin")).otherwise(F.col("_open"))
+    return rows.groupBy(source, first.alias("begin")).agg(F.max("end").alias("end"))
+
+
+def intersect(a: DataFrame, b: DataFrame, source: str = "source_id", cell: int = CELL) -> DataFrame:
+    """Overlaps of two sets of merged intervals.
+
+    An overlap begins where one of its two intervals begins while the other is open, and of each set only the last interval
+    that began before can be open; so the work is linear in the number of intervals.
+    """
+    sides = [df.where("begin < end").select(source, "begin", "end", F.lit(n).alias("_side")) for n, df in enumerate((a, b))]
+    rows = sides[0].unionAll(sides[1]).withColumn("_cell", F.expr(f"begin div {cell}"))
+    own = [F.when(F.col("_side") == n, F.struct("begin", "end")) for n in (0, 1)]
+    rows = carried(rows, source, _a=own[0], _b=own[1])
+    before = W.partitionBy(source, "_cell").orderBy("begin", "_side").rowsBetween(W.unboundedPreceding, -1)
+    last = [F.coalesce(F.max(x).over(before), F.col(n)) for x, n in zip(own, ("_a", "_b"), strict=True)]
+    rows = rows.select(source, "begin", "end", F.when(F.col("_side") == 0, last[1]).otherwise(last[0])["end"].alias("_open_to"))
+    return rows.where("_open_to > begin").select(source, "begin", F.least("end", "_open_to").alias("end"))
+
+
+def encode(entries: DataFrame, source: str = "source_id", entry: str = "entry_id", cell: int = CELL) -> DataFrame:
     """Runs of consecutive entries as intervals."""
-    rows = entries.select(source, entry).distinct()
-    rows = rows.withColumn("run", F.col(entry) - F.row_number().over(W.partitionBy(source).orderBy(entry)))
-    return rows.groupBy(source, "run").agg(F.min(entry).alias("begin"), (F.max(entry) + 1).alias("end")).drop("run")
+    return merge(entries.select(source, F.col(entry).alias("begin"), (F.col(entry) + 1).alias("end")), source, cell)
+
+
+def selection(entries: DataFrame, source: str = "source_id", entry: str = "entry_id", min_run: int = 2, cell: int = CELL) -> DataFrame:
+    """A row per source: runs of ``min_run`` entries or more as ``ranges``, the other entries as ``base`` and ``deltas`` between neighbours.
+
+    A source's row is its encoded form, so that it meets in one task; runs are made before, cell by cell.
+    """
+    runs = encode(entries, source, entry, cell).withColumn("_run", F.col("end") - F.col("begin") >= min_run)
+    single = F.when(~F.col("_run"), F.sequence(F.col("begin"), F.col("end") - 1))
+    out = runs.groupBy(source).agg(F.sort_array(F.collect_list(F.when(F.col("_run"), F.array("begin", "end")))).alias("ranges"), F.sort_array(F.flatten(F.collect_list(single))).alias("_alone"))
+    deltas = F.expr("transform(slice(_alone, 2, size(_alone)), (x, i) -> x - _alone[i])")
+    return out.select(source, "ranges", F.get("_alone", F.lit(0)).alias("base"), deltas.alias("deltas"))
 
 
 def select(rows: DataFrame, intervals: DataFrame, source: str = "source_id", entry: str = "entry_id", grain: int = 1024) -> DataFrame:

@@ -494,3 +494,12 @@ def stats_functions(spark, sf_dir):
     """Count, non-null count, smallest and largest value, as functions of the index."""
     row = stored_dataset(spark, sf_dir, "events").stats("/Event/value")
     return row.select(F.col("row_count").alias("n"), F.col("non_null_count").alias("non_null"), F.col("min_value").alias("least"), F.col("max_value").alias("most"))
+
+
+@query("""SELECT source_id, coalesce(CAST(to_json(list([lo, hi] ORDER BY lo) FILTER (WHERE hi - lo >= 2)) AS VARCHAR), '[]') AS ranges, min(lo) FILTER (WHERE hi - lo < 2) AS base, CAST(count(*) FILTER (WHERE hi - lo < 2) AS BIGINT) AS single FROM (
+  SELECT source_id, min(slot) AS lo, max(slot) + 1 AS hi FROM (SELECT *, slot - row_number() OVER (PARTITION BY source_id ORDER BY slot) AS run FROM (SELECT DISTINCT event_id % 4 AS source_id, event_id // 4 AS slot FROM events WHERE value > 50)) GROUP BY source_id, run) GROUP BY source_id""")
+def entry_selection_encode(spark, sf_dir):
+    """Entries as a selection: runs of two or more as ranges, the rest as a base and deltas."""
+    hits = pruned(spark, sf_dir, Predicate(">", (50.0,))).select("source_id", F.expr("entry_id div 4").alias("entry_id"))
+    out = intervals.selection(hits, min_run=2, cell=64)
+    return out.select("source_id", F.to_json("ranges").alias("ranges"), "base", (F.size("deltas") + F.when(F.col("base").isNull(), 0).otherwise(1)).cast("long").alias("single"))

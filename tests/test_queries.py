@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -178,6 +179,45 @@ def test_intervals(spark):
     assert intervals.select(entries, wide).count() == 1051
 
 
+@pytest.mark.parametrize("cell", [1, 7, 1 << 16])
+def test_intervals_over_many_cells(spark, cell):
+    """Islands that go on over cells, repeated and empty intervals, against plain Python."""
+    rng = random.Random(cell)
+    sets = []
+    for _ in range(2):
+        raw = [(s, b, b + rng.choice([0, 1, 2, 3, 40])) for s in (0, 1) for b in (rng.randrange(400) for _ in range(60))]
+        sets.append(raw + raw[:9])
+    frames = [spark.createDataFrame(x, "source_id long, begin long, end long") for x in sets]
+    held = [{(s, e) for s, b, end in x for e in range(b, end)} for x in sets]
+
+    def runs(points):
+        return sorted((s, e, next(n for n in range(e, 1000) if (s, n) not in points)) for s, e in points if (s, e - 1) not in points)
+
+    rows = lambda df: sorted(tuple(r) for r in df.select("source_id", "begin", "end").collect())
+    merged = [intervals.merge(f, cell=cell) for f in frames]
+    assert [rows(m) for m in merged] == [runs(h) for h in held]
+    both = intervals.intersect(*merged, cell=cell)
+    assert {(s, e) for s, b, end in rows(both) for e in range(b, end)} == held[0] & held[1]
+    assert len(rows(both)) == sum(max(a[1], b[1]) < min(a[2], b[2]) for a in runs(held[0]) for b in runs(held[1]) if a[0] == b[0])
+    entries = spark.createDataFrame([*held[0], (1, 0)], "source_id long, entry_id long")
+    kept = held[0] | {(1, 0)}
+    assert rows(intervals.encode(entries, cell=cell)) == runs(kept)
+    for r in intervals.selection(entries, min_run=5, cell=cell).collect():
+        alone, at = [], r.base
+        for step in [0, *r.deltas] if r.base is not None else []:
+            at += step
+            alone.append(at)
+        assert all(e - b >= 5 for b, e in r.ranges)
+        assert sorted(alone + [x for b, e in r.ranges for x in range(b, e)]) == sorted(e for s, e in kept if s == r.source_id)
+    assert rows(intervals.merge(frames[0].where("false"), cell=cell)) == []
+
+
+def test_event_bases_over_groups(spark):
+    files = spark.createDataFrame([(s, s + 1) for s in range(10)], "source_id long, total_entries long")
+    got = {r.source_id: r.event_base for r in index.event_bases(files, group=3).collect()}
+    assert got == {s: s * (s + 1) // 2 for s in range(10)}
+
+
 def test_inputs(tmp_path):
     for n in ("b.parquet", "a.parquet", "c.txt.parquet"):
         (tmp_path / n).write_text("")
