@@ -503,3 +503,51 @@ def entry_selection_encode(spark, sf_dir):
     hits = pruned(spark, sf_dir, Predicate(">", (50.0,))).select("source_id", F.expr("entry_id div 4").alias("entry_id"))
     out = intervals.selection(hits, min_run=2, cell=64)
     return out.select("source_id", F.to_json("ranges").alias("ranges"), "base", (F.size("deltas") + F.when(F.col("base").isNull(), 0).otherwise(1)).cast("long").alias("single"))
+
+
+HISTOGRAMS = [
+    histogram.Histogram("/lines/quantity", (QUANTITY,), "Quantity"),
+    histogram.Histogram("/lines/space", (histogram.Axis("l_quantity", 3, 0.0, 60.0), histogram.Axis("l_discount", edges=(0.0, 0.015, 0.055, 0.095)), histogram.Axis("l_tax", 2, 0.0, 0.05)), weight="l_quantity"),
+    histogram.Histogram("/lines/price", (QUANTITY,), profile="l_extendedprice", weight="l_linenumber"),
+]
+
+
+@query(f"""SELECT '/lines/quantity' AS object_path, 'TH1D' AS class_name, CAST(s.b AS INTEGER) AS global_bin, 3.0::DOUBLE + s.b * 4 AS x_center, CAST(count(l.b) AS DOUBLE) AS content, (SELECT CAST(count(*) AS DOUBLE) FROM lineitem) AS entries, (SELECT CAST(count(*) AS DOUBLE) FROM lineitem WHERE l_quantity >= 5 AND l_quantity < 45) AS sum_weights,
+  (SELECT CAST(count(*) AS DOUBLE) FROM lineitem WHERE l_quantity < 5) AS x_underflow, (SELECT CAST(count(*) AS DOUBLE) FROM lineitem WHERE l_quantity >= 45) AS x_overflow FROM (SELECT unnest(generate_series(0, 11)) AS b) s LEFT JOIN (SELECT {XBIN} AS b FROM lineitem) l ON s.b = l.b GROUP BY s.b""")
+def hist_view_bins(spark, sf_dir):
+    out = histogram.read([objects.table(spark, sf_dir, "lineitem")], "/lines/quantity/bins", HISTOGRAMS)
+    return out.select("object_path", "class_name", "global_bin", "x_center", "content", "entries", "sum_weights", "x_underflow", "x_overflow")
+
+
+CELL3 = """(SELECT CASE WHEN l_quantity < 0 THEN 0 WHEN l_quantity >= 60 THEN 4 ELSE floor(l_quantity / 20) + 1 END AS x, (l_discount >= 0)::INT + (l_discount >= 0.015)::INT + (l_discount >= 0.055)::INT + (l_discount >= 0.095)::INT AS y,
+  CASE WHEN l_tax < 0 THEN 0 WHEN l_tax >= 0.05 THEN 3 WHEN l_tax >= 0.025 THEN 2 ELSE 1 END AS z, l_quantity AS w FROM lineitem) AS cell3"""
+
+
+@query(f"SELECT CAST(x + 5 * (y + 5 * z) AS INTEGER) AS global_bin, round(sum(w), 4) AS content, round(sqrt(sum(w * w)), 4) AS error, round(sum(w * w), 4) AS sumw2_raw FROM {CELL3} GROUP BY x, y, z HAVING sum(w) > 0")
+def hist_view_3d(spark, sf_dir):
+    """Three axes, one with uneven bins, weighted."""
+    out = histogram.read([objects.table(spark, sf_dir, "lineitem")], "/lines/space", HISTOGRAMS).where("content > 0")
+    return out.select("global_bin", *[F.round(c, 4).alias(c) for c in ("content", "error", "sumw2_raw")])
+
+
+@query("SELECT count(*) AS n_cells, CAST(max(x_bin) AS INTEGER) AS last_x FROM (SELECT unnest(generate_series(0, 5 * 5 * 4 - 1)) % 5 AS x_bin)")
+def hist_view_3d_cells(spark, sf_dir):
+    return histogram.read([objects.table(spark, sf_dir, "lineitem")], "/lines/space/bins", HISTOGRAMS).agg(F.count("*").alias("n_cells"), F.max("x_bin").alias("last_x"))
+
+
+@query(f"SELECT {XBIN} AS x_bin, CAST(sum(w) AS DOUBLE) AS profile_entries, round(CAST(sum(w) AS DOUBLE) ** 2 / sum(w * w), 6) AS profile_effective_entries, round(sum(w * y) / sum(w), 4) AS content, round(sqrt(sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) ** 2) / sqrt(CAST(sum(w) AS DOUBLE) ** 2 / sum(w * w)), 3) AS error FROM (SELECT l_quantity, l_linenumber AS w, l_extendedprice AS y FROM lineitem) GROUP BY 1")
+def hist_view_profile(spark, sf_dir):
+    out = histogram.read([objects.table(spark, sf_dir, "lineitem")], "/lines/price", HISTOGRAMS).where("profile_entries > 0")
+    return out.select("x_bin", "profile_entries", F.round("profile_effective_entries", 6).alias("profile_effective_entries"), F.round("content", 4).alias("content"), F.round("error", 3).alias("error"))
+
+
+@query("SELECT axis_idx, axis_name, nbins, variable_bins FROM (VALUES (1, 'x', 3, FALSE), (2, 'y', 3, TRUE), (3, 'z', 2, FALSE)) t(axis_idx, axis_name, nbins, variable_bins)")
+def hist_view_axes(spark, sf_dir):
+    return histogram.read([objects.table(spark, sf_dir, "lineitem")], "/lines/space/axes", HISTOGRAMS).select("axis_idx", "axis_name", "nbins", "variable_bins")
+
+
+@query("""SELECT FALSE AS is_profile, CAST(12 AS INTEGER) AS n_cells, (SELECT CAST(count(*) AS DOUBLE) FROM lineitem) AS entries, CAST(count(*) AS DOUBLE) AS effective_entries, round(avg(l_quantity), 6) AS mean_x, round(stddev_pop(l_quantity) / sqrt(count(*)), 6) AS mean_error_x, round(stddev_pop(l_quantity), 6) AS stddev_x,
+  round(avg((l_quantity - m) ** 3) / stddev_pop(l_quantity) ** 3, 6) AS skewness_x, round(avg((l_quantity - m) ** 4) / var_pop(l_quantity) ** 2 - 3, 6) AS kurtosis_x FROM (SELECT l_quantity, avg(l_quantity) OVER () AS m FROM lineitem WHERE l_quantity >= 5 AND l_quantity < 45)""")
+def hist_view_meta(spark, sf_dir):
+    out = histogram.read([objects.table(spark, sf_dir, "lineitem")], "/lines/quantity/meta", HISTOGRAMS)
+    return out.select("is_profile", "n_cells", "entries", "effective_entries", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_error_x", "stddev_x", "skewness_x", "kurtosis_x")])

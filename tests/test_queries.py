@@ -8,7 +8,7 @@ import random
 import duckdb
 import pytest
 from burrow import queries
-from burrow.operators import index, intervals, paths, requests
+from burrow.operators import histogram, index, intervals, paths, requests
 from burrow.operators.dataset import Dataset
 from burrow.operators.index import Predicate
 from burrow.plans import chunks
@@ -248,3 +248,30 @@ def test_chunks():
     planned = chunks.plan([("a", 5), ("b", 5), ("c", 50), ("d", 1)], max_files=2, max_bytes=12)
     assert [c["files"] for c in planned] == [["a", "b"], ["c"], ["d"]]
     assert planned == chunks.plan([("a", 5), ("b", 5), ("c", 50), ("d", 1)], max_files=2, max_bytes=12)
+
+
+def test_histogram_views(spark):
+    nan, inf = math.nan, math.inf
+    rows = spark.createDataFrame([(1.0, 2.0, 1.0), (1.5, 4.0, 3.0), (9.0, 5.0, 1.0), (nan, 1.0, 1.0), (inf, 1.0, 1.0), (-inf, 1.0, 2.0), (None, 1.0, 1.0), (2.0, None, 1.0)], "x double, y double, w double")
+    axis = histogram.Axis("x", edges=(0.0, 2.0, 3.0), labels=("a",))
+    h = histogram.Histogram("/h/x", (axis,), weight="w")
+    p = {o: histogram.Histogram(f"/h/p{o}", (axis,), profile="y", error_option=o) for o in histogram.PROFILE_ERRORS}
+    known = [h, *p.values(), histogram.Histogram("/h/x/meta", (histogram.Axis("x", 2, 0.0, 3.0),))]
+    bins = histogram.read([rows], "h/x", known).orderBy("global_bin").collect()
+    assert [(r.content, r.x_low, r.x_width, r.x_label) for r in bins] == [(2.0, -1.5, 2.0, None), (4.0, 0.0, 2.0, "a"), (1.0, 2.0, 1.0, None), (3.0, 3.0, 1.0, None)]
+    assert bins[1].error == bins[1].error_low == math.sqrt(10) and bins[0].entries == 7 and (bins[0].x_underflow, bins[0].x_overflow) == (2.0, 3.0)
+    assert len(bins[0]) == 44
+    assert histogram.read([rows], "/h/x/meta", known).columns[5] == "global_bin"  # an exact name goes before a suffix
+    assert len(histogram.read([rows], "/h/x/axes", known).columns) == 27
+    meta = histogram.meta_view(rows, h).first()
+    assert len(meta) == 58 and meta.maximum == 4.0 and meta.minimum == 1.0 and abs(meta.mean_x - (1.0 + 1.5 * 3 + 2.0) / 5) < 1e-12
+    error = {o: histogram.bins_view(rows, q).where("x_bin = 1").first() for o, q in p.items()}
+    assert all(r.content == 3.0 and r.profile_entries == 2.0 for r in error.values())
+    assert [round(error[o].error, 9) for o in ("", "s", "i", "g")] == [round(1 / math.sqrt(2), 9), 1.0, round(1 / math.sqrt(2), 9), round(1 / math.sqrt(2), 9)]
+    assert histogram.meta_view(rows.where("false"), h).first().mean_x == 0.0
+    for bad in ({"inputs": [rows, rows], "path": "/h/x"}, {"inputs": [rows], "path": "/h/none"}, {"inputs": [rows], "path": "/h/x/other"}):
+        with pytest.raises((ValueError, KeyError)):
+            histogram.read(**bad, known=known)
+    for bad in ({"edges": (1.0, 1.0)}, {"bins": 0, "low": 0.0, "high": 1.0}):
+        with pytest.raises(ValueError):
+            histogram.Axis("x", **bad)
