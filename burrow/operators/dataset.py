@@ -152,6 +152,13 @@ class Dataset:
         if now.exceptAll(then).unionAll(then.exceptAll(now)).head(1):
             raise RuntimeError("data files have changed since the index was built")
 
+    def ranges(self, chosen: DataFrame, gap: int = 0) -> DataFrame:
+        """Chosen baskets as ranges to read: ``source_id, part, begin, end, baskets``; gaps of up to ``gap`` entries within a part are read over."""
+        whole = chosen.select(F.struct("source_id", "part").alias("source_id"), F.col("entry_begin").alias("begin"), (F.col("entry_end") + gap).alias("end"))
+        spans = intervals.merge(whole).select("source_id", F.col("begin").alias("_begin"), (F.col("end") - gap).alias("_end"))
+        held = chosen.select(F.struct("source_id", "part").alias("source_id"), "entry_begin").join(spans, "source_id").where("entry_begin >= _begin AND entry_begin < _end")
+        return held.groupBy("source_id", F.col("_begin").alias("begin"), F.col("_end").alias("end")).agg(F.count("*").alias("baskets")).select("source_id.source_id", "source_id.part", "begin", "end", "baskets")
+
     # -- scans
 
     def chosen(self, path: str, predicate=None, path_predicates=(), selection: DataFrame | None = None, sources: list[int] | None = None) -> DataFrame:

@@ -134,3 +134,51 @@ def browse(df: DataFrame, root: str) -> DataFrame:
     for f in df.schema.fields:
         walk(f.dataType, f"/{root}/{f.name}")
     return df.sparkSession.createDataFrame([(p,) for p in sorted(found)], "path string")
+
+
+def scan_tree(df: DataFrame, entry: str = "entry_id") -> DataFrame:
+    """All scalar columns of a relation with its entry; collections and structs are left to their paths."""
+    return df.select(entry, *[f.name for f in df.schema.fields if f.name != entry and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))])
+
+
+def read_paths(df: DataFrame, wanted: list[str], entry: str = "entry_id", carry: tuple[str, ...] = ()) -> dict[tuple[str, ...], DataFrame]:
+    """Several paths, one relation per set of index columns: paths that share it stand side by side, null where one has no value.
+
+    Values are zipped within their entry, level by level, so that nothing is shuffled or joined.
+    """
+    groups: dict[tuple[str, ...], list[tuple[list[Step], str]]] = {}
+    seen = set()
+    for path in wanted:
+        found = resolve(df.schema, path)
+        if not found or isinstance(found[1], (T.StructType, T.MapType)):
+            raise ValueError(f"{path} names no values")
+        if tuple(found[0]) in seen:
+            continue
+        seen.add(tuple(found[0]))
+        groups.setdefault(tuple(s.name for s in found[0] if s.kind != "field"), []).append((found[0], path))
+    out = {}
+    for index, members in groups.items():
+        names = [leaf_name(p) for _, p in members]
+        if len(set(names)) < len(names):  # two leaves of one name are told apart by their path
+            names = ["_".join(x for x in parts_of(p)[1:] if x != "value") for _, p in members]
+        rows, kept = df, [entry, *carry]
+        now: list[Column | None] = [None] * len(members)
+        left = [list(steps) for steps, _ in members]
+
+        def walk() -> None:
+            """Go on through fields to the next collection of each path."""
+            for i, steps in enumerate(left):
+                while steps and steps[0].kind == "field":
+                    step = steps.pop(0)
+                    now[i] = F.col(step.name) if now[i] is None else now[i][step.name]
+
+        walk()
+        for name in index:
+            values = [F.coalesce(F.array_sort(F.map_entries(c)) if steps.pop(0).kind == "entries" else c, F.array()) for c, steps in zip(now, left, strict=True)]
+            zipped = F.arrays_zip(*[v.alias(f"_{i}") for i, v in enumerate(values)])
+            rows = rows.select(*kept, F.posexplode(zipped).alias(name, "_item"))
+            kept.append(name)
+            now = [F.col("_item")[f"_{i}"] for i in range(len(members))]
+            walk()
+        out[index] = rows.select(*kept, *[c.alias(n) for c, n in zip(now, names, strict=True)])
+    return out

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .operators import histogram, index, intervals, paths, requests
 from .operators.dataset import Dataset
 from .operators.index import Predicate
-from .plans import chunks, objects
-from .sources import catalog
+from .plans import chunks, control, objects
+from .sources import catalog, files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -551,3 +551,99 @@ def hist_view_axes(spark, sf_dir):
 def hist_view_meta(spark, sf_dir):
     out = histogram.read([objects.table(spark, sf_dir, "lineitem")], "/lines/quantity/meta", HISTOGRAMS)
     return out.select("is_profile", "n_cells", "entries", "effective_entries", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_error_x", "stddev_x", "skewness_x", "kurtosis_x")])
+
+
+@query("SELECT entry_id, user_id, event_type, value FROM (SELECT event_id AS entry_id, user_id, event_type, value FROM events)")
+def scan_tree(spark, sf_dir):
+    """All scalars of the events but their time, without their map."""
+    return paths.scan_tree(objects.events(spark, sf_dir)).drop("ts")
+
+
+@query(f"SELECT entry_id, lines_idx, quantity, tax FROM {LINES}")
+def read_paths_together(spark, sf_dir):
+    """Two paths of one set of index columns, side by side without a join."""
+    return paths.read_paths(order_rows(spark, sf_dir), ["/Order/lines/quantity", "/Order/lines/tax/value", "/Order/totalprice"])[("lines_idx",)]
+
+
+@query("SELECT CAST(source_id AS BIGINT) AS source_id, n, n_names FROM (SELECT 0 AS source_id, count(*) AS n, count(n_name) AS n_names FROM nation UNION ALL SELECT 1, count(*), 0 FROM region)")
+def files_as_sources(spark, sf_dir):
+    """Two files by name, columns that one lacks null, a missing file left out."""
+    rows, missing = files.read(spark, f"{sf_dir}/nation.parquet,{sf_dir}/region.parquet,{sf_dir}/absent.parquet", union_by_name=True)
+    if len(missing) != 1:
+        raise AssertionError(missing)
+    return rows.groupBy("source_id").agg(F.count("entry_id").alias("n"), F.count("n_name").alias("n_names"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, sf_dir):
+    """A report written as CSV and read back."""
+    folder = catalog.scratch(spark)
+    wanted = objects.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    files.write_csv(wanted, folder)
+    return files.read_csv(spark, folder, schema=wanted.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query("SELECT event_id % 4 AS source_id, event_id // 100 AS basket_id, count(*) AS value_count FROM events WHERE event_id % 4 <> 3 GROUP BY 1, 2")
+def table_snapshots(spark, sf_dir):
+    """Baskets appended to an SQL table in two snapshots, the second with a column more; a snapshot that never committed isn't seen."""
+    import uuid
+
+    store = tables.Tables(spark, "burrow" + uuid.uuid4().hex)
+    rows = event_baskets(spark, sf_dir).select("source_id", "basket_id", "value_count")
+    store.publish({"baskets": rows.where("source_id < 2")}, "first")
+    store.publish({"baskets": rows.where("source_id = 2").withColumn("more", F.lit(1))}, "second")
+    store.insert("baskets", rows.where("source_id = 3").withColumn("snapshot_id", F.lit("lost")))
+    return store.read("baskets").select("source_id", "basket_id", "value_count")
+
+
+@query("SELECT count(*) AS n, count(value) AS non_null, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events")
+def sql_stats_functions(spark, sf_dir):
+    """The index's figures by SQL functions of a path."""
+    held = stored_dataset(spark, sf_dir, "events")
+    tables.register_functions(spark, held.stats("/Event/value").withColumn("path", F.lit("/Event/value")), "burrow_events")
+    call = lambda name: f"burrow_events_{name}('/Event/value')"
+    return spark.sql(f"SELECT {call('count')} AS n, {call('non_null_count')} AS non_null, round(CAST({call('min')} AS DOUBLE), 6) AS least, round(CAST({call('max')} AS DOUBLE), 6) AS most")
+
+
+@query("SELECT * FROM (VALUES ('access'), ('baskets'), ('files'), ('schemas')) t(table_name)")
+def catalog_listing(spark, sf_dir):
+    """The tables of the current snapshot."""
+    return stored_dataset(spark, sf_dir, "events").catalog.listing().select("table_name")
+
+
+@query("""SELECT source_id, CAST(min(n) AS BIGINT) AS part, min(lo) AS "begin", max(hi) AS "end", count(*) AS baskets FROM (SELECT *, sum(fresh) OVER (PARTITION BY source_id, n ORDER BY lo) AS island FROM (
+  SELECT *, CASE WHEN lo <= lag(hi) OVER (PARTITION BY source_id, n ORDER BY lo) + 400 THEN 0 ELSE 1 END AS fresh FROM (
+  SELECT event_id % 4 AS source_id, event_id // 100 AS b, any_value(event_id // 5000) AS n, event_id // 100 * 100 AS lo, event_id // 100 * 100 + 100 AS hi FROM events GROUP BY ALL HAVING max(value) > 300))) GROUP BY source_id, n, island""")
+def read_ranges(spark, sf_dir):
+    """Baskets that may hold a match as ranges; gaps of 400 entries are read over. Ends are rounded to whole baskets here."""
+    held = stored_dataset(spark, sf_dir, "events")
+    chosen = held.chosen("/Event/value", Predicate(">", (300.0,)))
+    whole = chosen.withColumn("entry_begin", F.expr("entry_begin div 100 * 100")).withColumn("entry_end", F.expr("((entry_end - 1) div 100 + 1) * 100"))
+    return held.ranges(whole, gap=400)
+
+
+@query("SELECT source_id, CAST(sum(n) AS BIGINT) AS entries, min(base) AS event_base FROM (SELECT event_id % 4 AS source_id, count(*) AS n, (SELECT count(*) FROM events e WHERE e.event_id % 4 < any_value(x.event_id % 4)) AS base FROM events x GROUP BY 1) GROUP BY 1")
+def chunks_merged(spark, sf_dir):
+    """Two chunks of an index built apart, run twice, validated and merged in one commit, compacted, and read."""
+    held, planned, stores = stored_dataset(spark, sf_dir, "events"), [], {}
+    for name, own in (("low", (0, 1)), ("high", (2, 3))):
+        chunk = chunks.chunk([(name, 1)])
+        store = catalog.Catalog(spark, catalog.scratch(spark))
+
+        def build(_, own=own):
+            return {n: held.table(n).where(F.col("source_id").isin(*own)) if n in ("files", "baskets") else held.table(n) for n in control.KEYS}
+
+        first = control.run(chunk, store, build)
+        if control.run(chunk, store, build) != first:
+            raise AssertionError("a chunk was built twice")
+        planned.append(chunk)
+        stores[chunk["chunk_id"]] = store
+    target = catalog.Catalog(spark, catalog.scratch(spark))
+    control.merge(planned, stores, target)
+    control.compact(target, 1)
+    return target.read("files").groupBy("source_id").agg(F.sum("entries").alias("entries"), F.min("event_base").alias("event_base"))
+
+
+@query(f"SELECT '/Order/lines/quantity' AS path, 'double' AS type, count(*) AS rows, count(DISTINCT entry_id) AS entries, CAST(0 AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS repeated_keys FROM {LINES} UNION ALL SELECT '/Order/lines/suppkey', 'bigint', count(*), count(DISTINCT entry_id), 0, 0 FROM {LINES} UNION ALL SELECT '/Order/none', NULL, 0, 0, 0, 0")
+def schema_audit(spark, sf_dir):
+    return control.audit(order_rows(spark, sf_dir), ["/Order/lines/suppkey", "/Order/lines/quantity", "/Order/none"])

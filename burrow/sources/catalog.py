@@ -43,6 +43,12 @@ class Catalog:
             raise ValueError(f"snapshot {snapshot_id} is not committed")
         return found[0].snapshot_id if found else None
 
+    def listing(self) -> DataFrame:
+        """``table_name, snapshot_id, location`` of the tables of the newest snapshot."""
+        now = self.latest()
+        rows = self.commits().where(F.col("snapshot_id") == now).select(F.explode("tables").alias("table_name"), "snapshot_id")
+        return rows.withColumn("location", F.concat(F.lit(f"{self.root}/snapshots/"), "snapshot_id", F.lit("/"), "table_name"))
+
     def publish(self, tables: dict[str, DataFrame], fingerprint: str) -> str:
         """Write all tables, then the commit row. A fingerprint is published once; later calls return its snapshot.
 

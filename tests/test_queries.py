@@ -11,8 +11,8 @@ from burrow import queries
 from burrow.operators import histogram, index, intervals, paths, requests
 from burrow.operators.dataset import Dataset
 from burrow.operators.index import Predicate
-from burrow.plans import chunks
-from burrow.sources import inputs
+from burrow.plans import chunks, control
+from burrow.sources import files, inputs, tables
 from burrow.sources.catalog import Catalog
 from burrow.streaming.incremental import index_stream
 from pyspark.sql import functions as F
@@ -275,3 +275,102 @@ def test_histogram_views(spark):
     for bad in ({"edges": (1.0, 1.0)}, {"bins": 0, "low": 0.0, "high": 1.0}):
         with pytest.raises(ValueError):
             histogram.Axis("x", **bad)
+
+
+def test_paths_side_by_side(spark):
+    rows = spark.createDataFrame([(0, [1, 2], [5], [[1, 2], [3]], [[7]], 9), (1, None, [1], [], [[2, 3], None, [4]], 8), (2, [], None, None, None, None)], "entry_id long, a array<int>, b array<int>, m array<array<int>>, n array<array<int>>, s int")
+    out = paths.read_paths(rows, ["/X/a", "X/a/value", "/X/b", "/X/m", "/X/n", "/X/s"])
+    assert sorted(out) == [(), ("a_idx",), ("b_idx",), ("m_dim0_idx", "m_dim1_idx"), ("n_dim0_idx", "n_dim1_idx")]
+    one = paths.read_path(rows, "/X/m")
+    assert sorted(out[("m_dim0_idx", "m_dim1_idx")].collect()) == sorted(one.collect())
+    nested = rows.selectExpr("entry_id", "transform(n, x -> struct(x as xs, size(x) as k)) as p")
+    two = paths.read_paths(nested, ["/X/p/xs", "/X/p/k"])
+    assert sorted(len(f.columns) for f in two.values()) == [3, 4]
+    with pytest.raises(ValueError, match="no values"):
+        paths.read_paths(rows, ["/X/none"])
+
+
+def test_files_and_csv(spark, tmp_path):
+    spark.range(5).selectExpr("id v").coalesce(1).write.parquet(str(tmp_path / "a b+c%"))
+    spark.range(3).selectExpr("id v", "'x' t").coalesce(1).write.parquet(str(tmp_path / "two"))
+    got, missing = files.read(spark, f"{tmp_path}/a b+c%,{tmp_path}/two,{tmp_path}/none.parquet", union_by_name=True)
+    assert sorted((r.source_id, r.entry_id, r.t) for r in got.collect()) == [(0, n, None) for n in range(5)] + [(1, n, "x") for n in range(3)]
+    assert [m.rsplit("/", 1)[1] for m in missing] == ["none.parquet"]
+    with pytest.raises(FileNotFoundError):
+        files.read(spark, f"{tmp_path}/none.parquet")
+    rows = [(1, 'a,"b'), (2, None), (3, ""), (4, "two\nlines"), (5, " sp ")]
+    files.write_csv(spark.createDataFrame(rows, "k int, t string"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "csv"), schema="k int, t string").collect())) == rows
+    assert dict(files.read_csv(spark, str(tmp_path / "csv"), all_text=True).dtypes) == {"k": "string", "t": "string"}
+
+
+def test_sql_tables(spark):
+    store = tables.Tables(spark, "Unit_Store", 4)
+    first = store.publish({"t": spark.range(3).selectExpr("id source_id", "id * 2 n")}, "a")
+    assert store.publish({"t": spark.range(9).selectExpr("id source_id", "id n")}, "a") == first
+    store.publish({"t": spark.range(2).selectExpr("id + 10 source_id", "'q' more")}, "b")
+    assert sorted((r.source_id, r.n, r.more) for r in store.read("t").collect()) == [(0, 0, None), (1, 2, None), (2, 4, None), (10, None, "q"), (11, None, "q")]
+    store.publish({"t": spark.range(1).selectExpr("id + 20 source_id", "id n")}, "c", "replace")
+    assert [r.source_id for r in store.read("t").collect()] == [20]
+    with pytest.raises(TypeError):
+        store.insert("t", spark.range(1).selectExpr("'x' n"))
+    store.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("unit_store")]
+
+
+def test_control_plane(spark, tmp_path):
+    for name in ("b", "a"):
+        spark.range(4).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    found = control.discover(spark, f"{tmp_path}/in/*")
+    assert [f.path.split("/")[-2] for f in found.files] == ["a", "b"] and found == control.discover(spark, f"{tmp_path}/in/b,{tmp_path}/in/a")
+    planned = control.plan(found, max_files=1, max_bytes=1 << 20)
+    assert len(planned) == 2
+    stores = {c["chunk_id"]: Catalog(spark, str(tmp_path / c["chunk_id"])) for c in planned}
+
+    def build(source):
+        def tables_of(_):
+            return {
+                "files": spark.createDataFrame([(source, 0, 5)], "source_id long, part long, entries long"),
+                "schemas": spark.createDataFrame([("/X/v", "long", 10, 5)], "path string, type string, part_entries long, basket_entries long"),
+                "access": spark.createDataFrame([("/X/v", 0)], "path string, step int"),
+                "baskets": spark.createDataFrame([("/X/v", source, 0)], "path string, source_id long, basket_id long"),
+            }
+
+        return tables_of
+
+    one, two = planned
+    control.run(one, stores[one["chunk_id"]], build(1))
+    target = Catalog(spark, str(tmp_path / "target"))
+    with pytest.raises(ValueError, match="not committed"):
+        control.merge(planned, stores, target)
+    control.run(two, stores[two["chunk_id"]], build(1))
+    assert any("repeats" in w for w in control.validate(planned, stores)) and any("2 chunks" in w for w in control.validate(planned, stores))
+    stores[two["chunk_id"]] = Catalog(spark, str(tmp_path / "again"))
+    control.run(two, stores[two["chunk_id"]], build(2))
+    first = control.merge(planned, stores, target)
+    assert sorted((r.source_id, r.event_base) for r in target.read("files").collect()) == [(1, 0), (2, 5)] and target.read("schemas").count() == 1
+    control.merge(planned, stores, target)  # what is held is not added twice
+    assert target.read("files").count() == 2
+    with pytest.raises(ValueError, match="number of files"):
+        control.compact(target, None)
+    control.compact(target, 1)
+    assert target.read("baskets").rdd.getNumPartitions() == 1 and target.read("files", first).count() == 2
+    (tmp_path / "target" / "snapshots" / "left").mkdir()
+    assert control.orphans(target) == [] and control.orphans(target, older_than_s=-5) == ["left"]
+    assert control.orphans(target, older_than_s=-5, delete=True) == ["left"] and control.orphans(target, older_than_s=-5) == []
+
+
+def test_budget():
+    held = control.budget(memory_bytes=16 << 30, cores=4, input_bytes=100 << 40)
+    assert int(held["spark.sql.files.maxPartitionBytes"]) * int(held["spark.sql.shuffle.partitions"]) >= 100 << 40
+    for bad in ({"memory_bytes": 1 << 20}, {"cores": 0}, {"overhead": 1.0}):
+        with pytest.raises(ValueError):
+            control.budget(**({"memory_bytes": 16 << 30, "cores": 4, "input_bytes": 1} | bad))
+
+
+def test_ranges(small):
+    held, _ = small
+    chosen = held.chosen("/E/total", requests.value_predicate('{"or": [{"op": "between", "values": [0, 500]}, {"op": "between", "values": [1100, 1200]}]}'))
+    near = {tuple(r) for r in held.ranges(chosen, gap=100).collect()}
+    far = {tuple(r) for r in held.ranges(chosen).collect()}
+    assert sum(r[4] for r in near) == sum(r[4] for r in far) == chosen.count() and len(near) <= len(far)
