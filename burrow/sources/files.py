@@ -75,4 +75,4 @@ def read_csv(spark: SparkSession, spec: str, *, sep: str = ",", header: bool = T
 
 def write_csv(df: DataFrame, folder: str, *, sep: str = ",", parts: int = 1) -> None:
     """A report as CSV with a header, quoted so that ``read_csv`` gives the same rows; nulls are empty, empty texts are quoted."""
-    df.coalesce(parts).write.mode("errorifexists").option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(folder)
+    df.coalesce(parts).write.mode("errorifexists").option("header", "true").option("sep", sep).option("quote", '"').option("escape", '"').option("emptyValue", '""').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(folder)
