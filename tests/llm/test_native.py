@@ -112,6 +112,27 @@ def test_sharding(spark, tables):
         assert all(abs(share[s] - n / 8) < 2 for s in range(8)), (source, share)
 
 
+def test_sharding_order_against_plain_python(spark, tables):
+    """The whole order, recomputed from the rows' hashes: ranks within sources, then fractional ranks, then equal cuts."""
+    text = F.coalesce("text", F.lit(""))
+    crc = F.crc32(F.encode(text, "UTF-8"))
+    name = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    rows = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", name.alias("stratum"), (F.octet_length(text).cast("long") + 1).alias("size"), crc.alias("crc"), F.xxhash64(F.lit(42), "doc_id", crc).alias("h"), F.xxhash64(F.lit(42), name).alias("s")).collect()
+    key = lambda x: (x is not None, x)
+    held = defaultdict(list)
+    for r in rows:
+        held[tuple(r.stratum)].append(r)
+    order = []
+    for stratum, own in held.items():
+        own.sort(key=lambda r: (r.h % 2**64, key(r.doc_id), r.crc, r["size"]))
+        shift = (own[0].s % 1_000_003 + 0.5) / 1_000_003
+        order += [((i + shift) / len(own), stratum, r.h, key(r.doc_id), r.crc) for i, r in enumerate(own)]
+    order.sort()
+    first = [-(-k * len(order) // 8) for k in range(9)]
+    want = Counter((doc[1], crc, k, n - first[k]) for k in range(8) for n, (*_, doc, crc) in list(enumerate(order))[first[k] : first[k + 1]])
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in queries.op6_stratified_sharding(spark, tables).collect()) == want
+
+
 def test_sharding_tells_a_null_source_from_any_name(spark):
     rows = [(i, "x", s) for i, s in enumerate([None, "\0null", "", None, "\0null", ""] * 4)]
     got = sharding.interleaved_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 4)

@@ -127,6 +127,22 @@ def test_quality(spark, tables):
     assert docs
 
 
+def test_quality_scores_against_a_walk_of_the_trees(spark, tables):
+    """Every row's score of the query, by plain recursion through the trees over the text's statistics."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    forest = quality.fit(docs, queries.training_labels(spark, tables))
+    inner = forest.feature.shape[1]
+
+    def walk(x, t, node=0):
+        if node >= inner:
+            return forest.leaf[t, node - inner]
+        return walk(x, t, 2 * node + 1 + int(x[forest.feature[t, node]] > forest.threshold[t, node]))
+
+    score = lambda text: 1 / (1 + np.exp(-(forest.base + sum(walk(quality.statistics(text), t) for t in range(len(forest.leaf))))))
+    key = lambda pairs: sorted(((i is not None, i, round(float(s), 9)) for i, s in pairs), key=str)
+    assert key((r.doc_id, r.score) for r in queries.op8_quality_trees(spark, tables).collect()) == key((r.doc_id, score(r.text)) for r in docs.collect())
+
+
 def test_quality_on_held_out_rows(spark):
     src = "/root/testdata/sf0.01"
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{src}/labels.parquet").collect()}
