@@ -61,6 +61,7 @@ class Dataset:
         #: The committed snapshot that this object reads, found at the first look; and what it says of each path.
         self.snapshot: str | None = None
         self.schemas: dict[str, object] = {}
+        self.totals: dict[str, tuple[int, int, int]] = {}
         self.shape = None
 
     # -- writing
@@ -107,7 +108,7 @@ class Dataset:
             own = own.drop("min_value", "max_value")
             baskets = own if baskets is None else baskets.unionByName(own)
         made = self.spark.createDataFrame
-        self.schemas = {}
+        self.schemas, self.totals = {}, {}
         self.snapshot = self.catalog.publish(
             {
                 "files": files,
@@ -141,6 +142,13 @@ class Dataset:
         rows = self.table("baskets").where(F.col("path") == path)
         return rows.withColumn("min_value", F.col(f"min_{kind}")).withColumn("max_value", F.col(f"max_{kind}")).drop(*[f"{s}_{k}" for s in ("min", "max") for k in ("double", "long", "text")])
 
+    def total(self, path: str) -> tuple[int, int, int]:
+        """Files, their bytes and the path's baskets in all; a snapshot doesn't change, so they are looked up once."""
+        if path not in self.totals:
+            files = self.table("files").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+            self.totals[path] = (*files, self.table("baskets").where(F.col("path") == path).count())
+        return self.totals[path]
+
     def stats(self, path: str) -> DataFrame:
         """Counts and extremes of a path's values in one row, from the index alone."""
         return index.dataset_stats(index.rollup_files(self.baskets(path)))
@@ -161,13 +169,18 @@ class Dataset:
 
     # -- scans
 
-    def chosen(self, path: str, predicate=None, path_predicates=(), selection: DataFrame | None = None, sources: list[int] | None = None) -> DataFrame:
+    def chosen(self, path: str, predicate=None, path_predicates=(), selection: DataFrame | None = None, sources: list[int] | None = None, entries=None) -> DataFrame:
         """``source_id, basket_id, entry_begin, entry_end, part`` of the baskets that may hold a match."""
         held = self.schema_of(path)
         rows = self.baskets(path)
         if predicate is not None:
             requests.check_constants(predicate, held.kind, path)
             rows = rows.where(predicate.keeps(rows))
+        if isinstance(predicate, index.Predicate) and predicate.op == "isnull":
+            rows = rows.where(F.lit(False))
+        if entries is not None:
+            low, high = requests.entry_range(entries)
+            rows = rows.where((F.col("entry_begin") <= high) & (F.col("entry_end") > low) if low <= high else F.lit(False))
         if sources is not None:
             rows = rows.where(F.col("source_id").isin(*sources))
         for p in path_predicates:
@@ -180,36 +193,42 @@ class Dataset:
             rows = rows.join(cells, ["source_id", "basket_id"], "left_semi")
         return rows.select("source_id", "basket_id", "entry_begin", "entry_end", F.expr(f"entry_begin div {held.part_entries}").alias("part"))
 
-    def scan(self, path: str, predicate=None, *, path_predicates=(), selection: DataFrame | None = None, sources: list[int] | None = None, row_limit: int | None = None) -> tuple[DataFrame, PruneReport]:
+    def scan(self, path: str, predicate=None, *, path_predicates=(), selection: DataFrame | None = None, sources: list[int] | None = None, entries=None, row_limit: int | None = None) -> tuple[DataFrame, PruneReport]:
         """The path's rows (``entry_id, source_id``, index columns, leaf) that match, and what is opened for them.
 
-        ``value IS NULL`` finds nothing, as a flattened value stands for itself; no selected entry gives no row.
+        ``entries`` is a predicate on the entry numbers themselves. ``value IS NULL`` finds nothing, as a flattened value
+        stands for itself; no selected entry gives no row.
         """
         held, files = self.schema_of(path), self.table("files")
-        chosen = self.chosen(path, predicate, path_predicates, selection, sources)
-        if isinstance(predicate, index.Predicate) and predicate.op == "isnull":
-            chosen = chosen.where(F.lit(False))
-        opened = files.join(chosen.select("source_id", "part").distinct(), ["source_id", "part"], "left_semi")
-        total = files.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
-        read = opened.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-        baskets = self.table("baskets").where(F.col("path") == path).count()
-        kept = chosen.agg(F.count("*").alias("n"), F.min("entry_begin").alias("begin"), F.max("entry_end").alias("end")).first()
-        report = PruneReport(total.n, read.n, total.bytes, read.bytes, baskets, kept.n)
-        if read.n <= MOST_FILES:
-            names = [r.path for r in opened.select("path").collect()]
+        chosen = self.chosen(path, predicate, path_predicates, selection, sources, entries)
+        parts = chosen.groupBy("source_id", "part").agg(F.count("*").alias("n"), F.min("entry_begin").alias("begin"), F.max("entry_end").alias("end"))
+        opened = files.select("path", "bytes", "source_id", "part").join(parts, ["source_id", "part"])
+        all_files, all_bytes, all_baskets = self.total(path)
+        named = opened.limit(MOST_FILES + 1).collect()
+        if len(named) <= MOST_FILES:
+            by_part = {(r.source_id, r.part): r for r in named}.values()
+            files_read, bytes_read, kept = len(named), sum(r.bytes for r in named), sum(r.n for r in by_part)
+            begin, end = min((r.begin for r in by_part), default=0), max((r.end for r in by_part), default=0)
             self.shape = self.shape or self.entries().schema
+            names = [r.path for r in named]
             rows = self.spark.read.schema(self.shape).option("basePath", f"{self.root}/data").parquet(*names) if names else self.spark.createDataFrame([], self.shape)
         else:
-            rows = self.entries().join(F.broadcast(chosen.select("source_id", "part").distinct()) if kept.n <= MOST_BASKETS else chosen.select("source_id", "part").distinct(), ["source_id", "part"], "left_semi")
-        if kept.n:
-            rows = rows.where((F.col("entry_id") >= kept.begin) & (F.col("entry_id") < kept.end))
+            files_read, bytes_read = opened.agg(F.count("*"), F.sum("bytes")).first()
+            kept, begin, end = chosen.agg(F.count("*"), F.min("entry_begin"), F.max("entry_end")).first()
+            wanted = chosen.select("source_id", "part").distinct()
+            rows = self.entries().join(F.broadcast(wanted) if kept <= MOST_BASKETS else wanted, ["source_id", "part"], "left_semi")
+        report = PruneReport(all_files, files_read, all_bytes, bytes_read, all_baskets, kept)
+        if kept:
+            rows = rows.where((F.col("entry_id") >= begin) & (F.col("entry_id") < end))
+        if entries is not None:
+            rows = rows.where(entries.exact(F.col("entry_id")))
         if selection is not None:
             rows = intervals.select(rows, intervals.merge(selection))
         for p in path_predicates:
             rows = rows.where((index.any_of if p.quantifier == "any" else index.all_of)(values_of(rows, p.path), p.predicate))
-        if kept.n < baskets:
+        if kept < all_baskets:
             narrow = chosen.select("source_id", F.col("basket_id").alias("_basket"))
-            narrow = F.broadcast(narrow) if kept.n <= MOST_BASKETS else narrow
+            narrow = F.broadcast(narrow) if kept <= MOST_BASKETS else narrow
             rows = rows.withColumn("_basket", F.expr(f"entry_id div {held.basket_entries}")).join(narrow, ["source_id", "_basket"], "left_semi").drop("_basket")
         out = paths.read_path(rows, path, carry=("source_id",))
         if predicate is not None:

@@ -71,6 +71,37 @@ def check_constants(predicate: Predicate | Tree, kind: str, path: str) -> None:
             raise TypeError(f"{x!r} can't be compared with values of {path}, which are of kind {kind}")
 
 
+#: Entry numbers are longs from 0; a range whose first entry is past its last holds none.
+EVERY, NO_ENTRY = (0, (1 << 63) - 1), (0, -1)
+
+
+def entry_range(predicate: Predicate | Tree) -> tuple[int, int]:
+    """First and last entry that a predicate on entry numbers lets match, or ``NO_ENTRY``; entries between may still fail it."""
+    if any(isinstance(x, bool) or not isinstance(x, int) for x in predicate.constants):
+        raise TypeError("entries are compared with whole numbers")
+    if isinstance(predicate, Tree):
+        spans = [entry_range(p) for p in predicate.parts]
+        if predicate.join == "and":
+            return bounded(max(low for low, _ in spans), min(high for _, high in spans))
+        spans = [s for s in spans if s != NO_ENTRY]
+        return bounded(min(low for low, _ in spans), max(high for _, high in spans)) if spans else NO_ENTRY
+    if predicate.op == "isnull":
+        return NO_ENTRY
+    if predicate.op in ("<>", "isnotnull"):
+        return EVERY
+    low, high = min(predicate.values), max(predicate.values)
+    if predicate.op in ("=", "in", "between"):
+        return bounded(low, high)
+    if predicate.op in ("<", "<="):
+        return bounded(0, high - (predicate.op == "<"))
+    return bounded(low + (predicate.op == ">"), EVERY[1])
+
+
+def bounded(low: int, high: int) -> tuple[int, int]:
+    low, high = max(low, EVERY[0]), min(high, EVERY[1])
+    return (low, high) if low <= high else NO_ENTRY
+
+
 def entry_selection(spark: SparkSession, request) -> DataFrame:
     """``source_id, begin, end`` from ``{source: {"ranges": [[b, e)], "entries": [..], "entries_delta": {"base", "deltas"}}}``; an empty object selects nothing."""
     rows: list[tuple[int, int, int]] = []

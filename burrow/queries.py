@@ -205,13 +205,14 @@ def dataset_zone_lt(spark, sf_dir):
 
 @query(f"{EVENT} value = (SELECT max(value) FROM events)")
 def bloom_eq(spark, sf_dir):
-    most = direct_scalar(spark, sf_dir).agg(F.max("value")).first()[0]
+    most = stored_dataset(spark, sf_dir, "events").stats("/Event/value").first().max_value
     return pruned(spark, sf_dir, Predicate("=", (most,)))
 
 
 @query(f"{EVENT} value IN ((SELECT max(value) FROM events), (SELECT min(value) FROM events))")
 def dataset_in(spark, sf_dir):
-    low, high = direct_scalar(spark, sf_dir).agg(F.min("value"), F.max("value")).first()
+    held = stored_dataset(spark, sf_dir, "events").stats("/Event/value").first()
+    low, high = held.min_value, held.max_value
     return pruned(spark, sf_dir, Predicate("in", (low, high)))
 
 
@@ -261,6 +262,13 @@ def entry_selection_empty(spark, sf_dir):
     return pruned(spark, sf_dir, None, selection=requests.entry_selection(spark, "{}"))
 
 
+@query(f"{EVENT} (event_id < 120 OR event_id BETWEEN 700 AND 740 OR event_id IN (1201, 903)) AND event_id >= 7 AND event_id <> 710 AND value > 5")
+def dataset_event_range(spark, sf_dir):
+    """A predicate on entry numbers chooses baskets by the range that it allows, then entries exactly."""
+    asked = requests.value_predicate('{"and": [{"or": [{"op": "<", "value": 120}, {"op": "between", "values": [740, 700]}, {"op": "in", "values": [1201, 903]}]}, {"op": ">=", "value": 7}, {"op": "<>", "value": 710}]}')
+    return pruned(spark, sf_dir, Predicate(">", (5.0,)), entries=asked)
+
+
 @query(f"{EVENT} (value > 200 OR (value >= 10 AND value < 12)) AND value <> 11")
 def dataset_tree(spark, sf_dir):
     """AND and OR trees prune as well."""

@@ -8,7 +8,7 @@ import random
 import duckdb
 import pytest
 from burrow import queries
-from burrow.operators import histogram, index, intervals, paths, requests
+from burrow.operators import dataset, histogram, index, intervals, paths, requests
 from burrow.operators.dataset import Dataset
 from burrow.operators.index import Predicate
 from burrow.plans import chunks, control
@@ -141,6 +141,48 @@ def test_stored_scans_with_other_paths_and_selections(spark, small):
     assert (stats.row_count, stats.min_value, stats.max_value) == (1000, 0, 9990)
 
 
+@pytest.mark.parametrize(
+    ("request_", "span"),
+    [
+        ('{"op": "=", "value": 7}', (7, 7)),
+        ('{"op": ">", "value": 980}', (981, requests.EVERY[1])),
+        ('{"op": "<", "value": 0}', requests.NO_ENTRY),
+        ('{"op": "in", "values": [30, 4, -9]}', (0, 30)),
+        ('{"op": "between", "values": [20, 10]}', (10, 20)),
+        ('{"op": "<>", "value": 3}', requests.EVERY),
+        ('{"and": [{"op": ">=", "value": 10}, {"op": "<", "value": 10}]}', requests.NO_ENTRY),
+        ('{"and": [{"op": ">", "value": 95}, {"or": [{"op": "=", "value": 5}, {"op": "<=", "value": 130}]}]}', (96, 130)),
+        ('{"or": [{"op": "<", "value": 0}, {"op": "between", "values": [200, 210]}, {"op": "=", "value": 480}]}', (200, 480)),
+    ],
+)
+def test_entry_ranges_prune_and_stay_exact(small, request_, span):
+    held, rows = small
+    asked = requests.value_predicate(request_)
+    assert requests.entry_range(asked) == span
+    got, report = held.scan("/E/hits/x", entries=asked)
+    want = paths.read_path(rows.where(asked.exact(F.col("entry_id"))), "/E/hits/x", carry=("source_id",))
+    key = lambda df: sorted(tuple(r) for r in df.select("source_id", "entry_id", "hits_idx", "x").collect())
+    assert key(got) == key(want)
+    low, high = span
+    overlapping = held.baskets("/E/hits/x").where((F.col("entry_begin") <= high) & (F.col("entry_end") > low)).count() if low <= high else 0
+    assert report.baskets_read == overlapping
+
+
+@pytest.mark.parametrize("bad", [2.5, "a", True])
+def test_entries_are_compared_with_whole_numbers(small, bad):
+    with pytest.raises(TypeError):
+        small[0].scan("/E/hits/x", entries=Predicate("=", (bad,)))
+
+
+def test_scans_beyond_the_named_files(small, monkeypatch):
+    held, _ = small
+    key = lambda df: sorted(tuple(r) for r in df.select("source_id", "entry_id", "hits_idx", "x").collect())
+    named, report = held.scan("/E/hits/x", Predicate(">", (300,)))
+    monkeypatch.setattr(dataset, "MOST_FILES", 1)
+    joined, again = held.scan("/E/hits/x", Predicate(">", (300,)))
+    assert key(joined) == key(named) and again == report
+
+
 def test_stats_read_no_data_file(small):
     held, _ = small
     assert all("/index/" in f for f in held.stats("/E/hits/x").inputFiles())
