@@ -12,7 +12,11 @@ CELL = 1 << 16
 
 
 def carried(rows: DataFrame, source: str, **figures: Column) -> DataFrame:
-    """``rows`` with the largest of each figure in all earlier cells of the source: running figures over one row per cell."""
+    """``rows`` with the largest of each figure in all earlier cells of the source: running figures over one row per cell.
+
+    Nulls are dropped ahead, not by the join, so that both of its sides are the same up to their shuffle, which then runs once.
+    """
+    rows = rows.where(F.col(source).isNotNull() & F.col("_cell").isNotNull())
     before = W.partitionBy("_source").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     cells = rows.groupBy(F.col(source).alias("_source"), F.col("_cell").alias("_at")).agg(*[F.max(c).alias(n) for n, c in figures.items()])
     cells = cells.select("_source", "_at", *[F.max(n).over(before).alias(n) for n in figures])
