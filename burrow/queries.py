@@ -329,9 +329,10 @@ SPANS = "(SELECT l_suppkey AS source_id, l_partkey % 500 AS b, l_partkey % 500 +
 
 
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities are rounded as the SQL's cast rounds them, halves to even; Spark's own cast would cut the fraction off."""
     rows = objects.table(spark, sf_dir, "lineitem")
     begin = F.col("l_partkey") % 500
-    return rows.select(F.col("l_suppkey").alias("source_id"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long") % 9).alias("end"))
+    return rows.select(F.col("l_suppkey").alias("source_id"), begin.alias("begin"), (begin + F.rint("l_quantity").cast("long") % 9).alias("end"))
 
 
 MERGED = f"""(SELECT source_id, min(b) AS b, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM (

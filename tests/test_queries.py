@@ -254,6 +254,31 @@ def test_intervals_over_many_cells(spark, cell):
     assert rows(intervals.merge(frames[0].where("false"), cell=cell)) == []
 
 
+@pytest.fixture
+def odd_lines(tmp_path):
+    """Lines without a supplier, part or quantity, and quantities between whole numbers; no two spans of a source are alike, as the SQL leaves their order open."""
+    con = duckdb.connect()
+    lines = [(None, 98, 5.0), (None, 102, 4.0), (None, 300, 2.0), (1, 98, 2.5), (1, 100, 3.5), (1, 210, 6.7), (1, 218, 8.5), (1, 400, 0.5), (2, None, 3.0), (2, 5, None), (3, -7, 4.0)]
+    con.sql("create table lineitem (l_suppkey bigint, l_partkey bigint, l_quantity double)")
+    con.executemany("insert into lineitem values (?, ?, ?)", lines)
+    con.sql(f"copy lineitem to '{tmp_path}/lineitem.parquet'")
+    return str(tmp_path), con
+
+
+def test_merge_of_odd_lines(spark, odd_lines):
+    folder, con = odd_lines
+    got = {tuple(r) for r in queries.QUERIES["interval_merge"](spark, folder).collect()}
+    assert got == set(con.sql(queries.ORACLE_SQL["interval_merge"]).fetchall())
+    assert got == {(None, 98, 106), (None, 300, 302), (1, 98, 104), (1, 210, 217), (1, 218, 226), (3, -7, -3)}
+
+
+@pytest.mark.parametrize("cell", [1, 7, 1 << 16])
+def test_merge_without_a_source(spark, cell):
+    rows = spark.createDataFrame([(None, 1, 3), (None, 3, 50), (None, 20, 30), (None, 60, 61), (0, 2, 4), (None, None, 9), (None, 9, None)], "source_id long, begin long, end long")
+    merged = [tuple(r) for r in intervals.merge(rows, cell=cell).select("source_id", "begin", "end").collect()]
+    assert sorted(merged, key=str) == [(0, 2, 4), (None, 1, 50), (None, 60, 61)]
+
+
 def test_event_bases_over_groups(spark):
     files = spark.createDataFrame([(s, s + 1) for s in range(10)], "source_id long, total_entries long")
     got = {r.source_id: r.event_base for r in index.event_bases(files, group=3).collect()}
